@@ -127,11 +127,9 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[pa
     kept = data[solid]
     if lower:
         kept = _LOWER[kept]
-    at = np.flatnonzero(starts[solid])
-    spans = np.append(at, len(kept))
+    spans = np.append(np.flatnonzero(starts[solid]), len(kept))
     found = binary(spans, kept).dictionary_encode()
-    before = np.concatenate(([0], np.cumsum(starts)))
-    return found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), before[offsets]
+    return found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(np.flatnonzero(starts), offsets)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

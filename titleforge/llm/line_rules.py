@@ -17,8 +17,8 @@ from titleforge.llm.common import table
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: A line of prose ends in one of these, perhaps inside quotes or brackets.
-TERMINAL = r"""[.!?:;,\u2026\u3002\uFF01\uFF1F]["'\u201D\u2019\u00BB)\]]*\s*$"""
+#: A line of prose has a word that closes with one of these, perhaps inside quotes or brackets.
+TERMINAL = r"""[.!?:;,\u2026\u3002\uFF01\uFF1F]["'\u201D\u2019\u00BB)\]]*(\s|$)"""
 #: A word that is a separator of a menu, or closes with a run of marks.
 MENU = r"^(\||>|\u00BB|\u203A|\u00B7|\u2022|/|::)+$|\|$"
 SHOUT = r"(!!+|\?\?+|##+|\*\*+|\$\$+|%%+|&&+)$"

@@ -5,10 +5,12 @@ from __future__ import annotations
 from titleforge.llm.line_rules import OP3_SQL, op3_line_first_cleaning
 from titleforge.llm.preferences import OP4_SQL, op4_preference_formatting
 from titleforge.llm.quality_knn import op9_quality_knn
+from titleforge.llm.toxicity_kn import op7_toxicity_kneser_ney
 
 QUERIES = {
     "op3_line_first_cleaning": op3_line_first_cleaning,
     "op4_preference_formatting": op4_preference_formatting,
+    "op7_toxicity_kneser_ney": op7_toxicity_kneser_ney,
     "op9_quality_knn": op9_quality_knn,
 }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from titleforge.llm.line_rules import OP3_SQL, op3_line_first_cleaning
+from titleforge.llm.near_dup import OP10_SQL, op10_minhash_lsh_forest
 from titleforge.llm.preferences import OP4_SQL, op4_preference_formatting
 from titleforge.llm.quality_knn import op9_quality_knn
 from titleforge.llm.toxicity_kn import op7_toxicity_kneser_ney
@@ -12,9 +13,11 @@ QUERIES = {
     "op4_preference_formatting": op4_preference_formatting,
     "op7_toxicity_kneser_ney": op7_toxicity_kneser_ney,
     "op9_quality_knn": op9_quality_knn,
+    "op10_minhash_lsh_forest": op10_minhash_lsh_forest,
 }
 
 ORACLES = {
     "op3_line_first_cleaning": OP3_SQL,
     "op4_preference_formatting": OP4_SQL,
+    "op10_minhash_lsh_forest": OP10_SQL,
 }

@@ -3,8 +3,10 @@
 Texts with equal shingle sets form a class at once. One text of each class enters the forest: TREES sorted
 orders of its signature, each by DEPTH signature values. In each order a text is paired with the next
 NEIGHBOURS whose common prefix has at least LEAST values; in a crowded region neighbours share more, so the
-depth adapts to the region. Pairs pass a 128-bit sketch of the signature and are then confirmed on full
-shingle sets. Links go to components in rounds: each text's closest pairs first, then the closest pairs between
+depth adapts to the region. In regions of up to SMALL texts all pairs are candidates; in larger ones each text
+is also paired with the region's hubs, the HUBS texts closest to the majority of its sketches, as copies of
+one original lie closer to it than to each other. Pairs pass a 128-bit sketch of the signature and are then
+confirmed on full shingle sets. Links go to components in rounds: each text's closest pairs first, then the closest pairs between
 components, then all pairs that still cross components; so large groups are linked without all their pairs.
 
 A pair of similarity 0.8 shares LEAST values in an order with probability 0.33, so all 32 orders miss it with
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from titleforge.llm.common import Scratch, hashes, held, mixed, steps, table, utf8, words
 from titleforge.llm.components import components
 
-PERMUTATIONS, TREES, DEPTH, LEAST, NEIGHBOURS = 128, 32, 8, 5, 4
+PERMUTATIONS, TREES, DEPTH, LEAST, NEIGHBOURS, SMALL, HUBS = 128, 32, 8, 5, 4, 48, 3
 #: Equal bits of two 128-bit sketches, at least: 115 are expected at similarity 0.8, 96 lie 5 deviations below.
 EQUAL_BITS = 96
 #: Ids that are broadcast at most, to pick the texts whose sets are needed; beyond, they are joined.
@@ -95,8 +97,20 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, keys binary, sketch binary")
 
 
+def _region_pairs(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a crowded region, and whether one of each is a hub."""
+    if len(bits) <= SMALL:
+        i, j = np.triu_indices(len(bits), 1)
+        return i, j, np.zeros(len(i), bool)
+    flat = np.unpackbits(bits.view(np.uint8), axis=1)
+    majority = (2 * flat.sum(0, dtype=np.int64) > len(flat)).astype(np.uint8)
+    hubs = np.argsort((flat != majority).sum(1), kind="stable")[:HUBS]
+    i, j = np.tile(np.arange(len(bits)), HUBS), np.repeat(hubs, len(bits))
+    return i[i != j], j[i != j], np.ones(int((i != j).sum()), bool)
+
+
 def neighbours(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b, depth) of neighbours in frames sorted by (tree, key, id) within each partition."""
+    """(a, b, near) of candidates in frames sorted by (tree, key, id) within each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: pa.Table | None = None
@@ -104,28 +118,31 @@ def neighbours(entries: DataFrame, percent: int) -> DataFrame:
             now = pa.Table.from_batches([batch])
             joined = now if tail is None else pa.concat_tables([tail, now])
             joined = joined.combine_chunks()
-            old = 0 if tail is None else len(tail)
             tree, ids, n = (joined.column(c).to_numpy() for c in ("tree", "id", "n"))
             key = utf8(joined.column("key"))[0].view(">u2").reshape(-1, DEPTH)
             bits = utf8(joined.column("sketch"))[0].view(np.uint64).reshape(-1, 2)
-            out = []
+            found = []
             for j in range(1, NEIGHBOURS + 1):
-                if len(ids) <= j:
-                    break
-                depth = np.cumprod(key[:-j] == key[j:], axis=1).sum(1)
-                ok = (depth >= LEAST) & (tree[:-j] == tree[j:]) & (ids[:-j] != ids[j:])
-                ok[: max(0, old - j)] = False  # seen with the batch before
-                ok &= 100 * np.minimum(n[:-j], n[j:]) >= percent * np.maximum(n[:-j], n[j:])
-                at = np.flatnonzero(ok)
-                same = 128 - np.bitwise_count(bits[at] ^ bits[at + j]).sum(1)
-                at = at[same >= EQUAL_BITS]
-                out.append((np.minimum(ids[at], ids[at + j]), np.maximum(ids[at], ids[at + j]), depth[at]))
-            if out:
-                a, b, d = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d.astype(np.int64))], ["a", "b", "depth"])
+                if len(ids) > j:
+                    at = np.flatnonzero((key[:-j, :LEAST] == key[j:, :LEAST]).all(1) & (tree[:-j] == tree[j:]))
+                    found.append((at, at + j, np.zeros(len(at), bool)))
+            near = np.zeros(len(ids) + 1, bool)
+            near[1:-1] = (key[:-1, :LEAST] == key[1:, :LEAST]).all(1) & (tree[:-1] == tree[1:])
+            starts = np.flatnonzero(~near[:-1])
+            ends = np.append(starts[1:], len(ids))
+            for lo, hi in zip(starts, ends, strict=True):
+                if hi - lo > NEIGHBOURS + 1:
+                    i, j, hub = _region_pairs(bits[lo:hi])
+                    found.append((i + lo, j + lo, hub))
+            if found:
+                i, j, hub = (np.concatenate(x) for x in zip(*found, strict=True))
+                same = 128 - np.bitwise_count(bits[i] ^ bits[j]).sum(1).astype(np.int64)
+                ok = (ids[i] != ids[j]) & (same >= EQUAL_BITS) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                i, j, close = i[ok], j[ok], same[ok] + 128 * hub[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(close)], ["a", "b", "near"])
             tail = joined.slice(max(0, len(joined) - NEIGHBOURS))
 
-    return entries.mapInArrow(run, f"a {dict(entries.dtypes)['id']}, b {dict(entries.dtypes)['id']}, depth long")
+    return entries.mapInArrow(run, f"a {dict(entries.dtypes)['id']}, b {dict(entries.dtypes)['id']}, near long")
 
 
 def sets_of(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -164,7 +181,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         cut = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("keys", t * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("key")))
         entries = scratch.save(reps.select("id", "n", "keys", "sketch")).select("id", "n", "sketch", F.explode(cut).alias("e")).select(F.col("e.tree").alias("tree"), F.col("e.key").alias("key"), "id", "n", "sketch")
         ordered = entries.repartitionByRange(4 * parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-        pairs = scratch.save(neighbours(ordered, percent).groupBy("a", "b").agg(F.count("*").alias("hits"), F.max("depth").alias("depth")))
+        pairs = scratch.save(neighbours(ordered, percent).groupBy("a", "b").agg(F.max("near").alias("near")))
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         ids = scratch.save(ids)
         named = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
@@ -172,9 +189,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         sets = scratch.save(sets_of(named, "id", "t", size)).dropDuplicates(["id"])
 
         # first each text's closest two pairs
-        ends = pairs.select("a", "b", "hits", F.explode(F.array("a", "b")).alias("end"))
-        best = F.max_by(F.struct("a", "b"), F.struct("hits", -F.col("a"), -F.col("b")))
-        low = F.max_by(F.struct("a", "b"), F.struct(F.col("a") * -1, "hits"))
+        ends = pairs.select("a", "b", "near", F.explode(F.array("a", "b")).alias("end"))
+        best = F.max_by(F.struct("a", "b"), F.struct("near", -F.col("a"), -F.col("b")))
+        low = F.max_by(F.struct("a", "b"), F.struct(F.col("a") * -1, "near"))
         chosen = ends.groupBy("end").agg(F.array(best, low).alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b").distinct()
         chosen = scratch.save(chosen)
         links = scratch.save(confirmed(chosen, sets, percent))
@@ -184,13 +201,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             label = scratch.save(label)
             for end in ("a", "b"):
                 rest = rest.drop(f"c{end}").join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-            rest = scratch.save(rest.where("ca <> cb").select("a", "b", "hits", "ca", "cb"))
+            rest = scratch.save(rest.where("ca <> cb").select("a", "b", "near", "ca", "cb"))
             if rest.isEmpty():
                 break
             chosen = rest
             if not last:
                 sides = (F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"))
-                chosen = scratch.save(rest.groupBy(*sides).agg(F.max_by(F.struct("a", "b"), F.struct("hits", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b"))
+                chosen = scratch.save(rest.groupBy(*sides).agg(F.max_by(F.struct("a", "b"), F.struct("near", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b"))
             more = scratch.save(confirmed(chosen, sets, percent))
             old = label.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
             label = components(old.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))), scratch)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from titleforge.llm.decontaminate import op1_cgk_decontamination
 from titleforge.llm.line_rules import OP3_SQL, op3_line_first_cleaning
 from titleforge.llm.near_dup import OP10_SQL, op10_minhash_lsh_forest
 from titleforge.llm.preferences import OP4_SQL, op4_preference_formatting
@@ -9,6 +10,7 @@ from titleforge.llm.quality_knn import op9_quality_knn
 from titleforge.llm.toxicity_kn import op7_toxicity_kneser_ney
 
 QUERIES = {
+    "op1_cgk_decontamination": op1_cgk_decontamination,
     "op3_line_first_cleaning": op3_line_first_cleaning,
     "op4_preference_formatting": op4_preference_formatting,
     "op7_toxicity_kneser_ney": op7_toxicity_kneser_ney,

@@ -72,11 +72,12 @@ class Items:
         if len(self.known) > _MOST_KNOWN:
             self.known.clear()
         raw = distinct.to_pylist()
-        for w in raw:
-            if w not in self.known:
+        got = [self.known.get(w) for w in raw]
+        for i, w in enumerate(raw):
+            if got[i] is None:
                 plain = normal(w)
-                self.known[w] = self.vocabulary.get(plain, 0) if plain else -1
-        return np.array([self.known[w] for w in raw], np.int64)
+                got[i] = self.known[w] = self.vocabulary.get(plain, 0) if plain else -1
+        return np.array(got, np.int64)
 
 
 def _grams(codes: np.ndarray, q: int) -> np.ndarray:
@@ -94,19 +95,20 @@ def cgk_keys(windows: np.ndarray) -> np.ndarray:
     """
     m, n = windows.shape
     length = max(1, 3 * n // 2)
-    out = np.zeros((m, REPETITIONS), np.uint64)
-    padded = np.concatenate([windows, np.zeros((m, 1), np.int64)], 1).astype(np.uint64)
-    rows = np.arange(m)
+    rng = np.random.default_rng(n)
+    sampled = np.zeros((length, REPETITIONS), bool)
     for r in range(REPETITIONS):
-        rng = np.random.default_rng([n, r])
-        sampled = set(rng.choice(length, min(SAMPLED, length), replace=False).tolist())
-        salts = rng.integers(0, 1 << 63, length, dtype=np.uint64)
-        at, last = np.zeros(m, np.int64), max(sampled)
-        for j in range(last + 1):
-            symbol = padded[rows, at]
-            if j in sampled:
-                out[:, r] = out[:, r] * np.uint64(0x9E3779B97F4A7C15) + symbol + np.uint64(1)
-            at = np.minimum(at + (mixed(symbol ^ salts[j]) & np.uint64(1)).astype(np.int64), n)
+        sampled[rng.choice(length, min(SAMPLED, length), replace=False), r] = True
+    salts = rng.integers(0, 1 << 63, (length, REPETITIONS), dtype=np.uint64)
+    padded = np.concatenate([windows, np.zeros((m, 1), np.int64)], 1).astype(np.uint64)
+    rows, at = np.arange(m)[:, None], np.zeros((m, REPETITIONS), np.int64)
+    out = np.zeros((m, REPETITIONS), np.uint64)
+    for j in range(length):
+        symbol = padded[rows, at]
+        now = sampled[j]
+        out[:, now] = out[:, now] * np.uint64(0x9E3779B97F4A7C15) + symbol[:, now] + np.uint64(1)
+        at += (((symbol + salts[j]) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(np.int64)
+        np.minimum(at, n, out=at)
     return out
 
 
@@ -175,14 +177,14 @@ def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> Iterator[tup
     kept = kept[np.append(True, line[kept][1:] != line[kept][:-1])] if len(kept) else kept
     doc, item, diagonal = doc[kept], item[kept], diagonal[kept]
     met = np.zeros(len(kept), bool)
-    for i in np.unique(item):
-        of, n = np.flatnonzero(item == i), int(items.n[i])
+    for n in np.unique(items.n[item]).tolist():
+        of = np.flatnonzero(items.n[item] == n)
         for lo in range(0, len(of), 4096):
             part = of[lo : lo + 4096]
             place = diagonal[part, None] + np.arange(n)
             inside = (place >= bounds[doc[part]][:, None]) & (place < bounds[doc[part] + 1][:, None])
             windows = np.where(inside, codes[np.clip(place, 0, len(codes) - 1)], 0)
-            met[part] = (cgk_keys(windows) == items.keys[i]).any(1)
+            met[part] = (cgk_keys(windows) == np.stack([items.keys[i] for i in item[part]])).any(1)
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for d, i, s in zip(doc[met].tolist(), item[met].tolist(), diagonal[met].tolist(), strict=True):
         k, n = int(items.edits[i]), int(items.n[i])

@@ -7,10 +7,12 @@ from titleforge.llm.line_rules import OP3_SQL, op3_line_first_cleaning
 from titleforge.llm.near_dup import OP10_SQL, op10_minhash_lsh_forest
 from titleforge.llm.preferences import OP4_SQL, op4_preference_formatting
 from titleforge.llm.quality_knn import op9_quality_knn
+from titleforge.llm.surrogates import op2_surrogates
 from titleforge.llm.toxicity_kn import op7_toxicity_kneser_ney
 
 QUERIES = {
     "op1_cgk_decontamination": op1_cgk_decontamination,
+    "op2_surrogates": op2_surrogates,
     "op3_line_first_cleaning": op3_line_first_cleaning,
     "op4_preference_formatting": op4_preference_formatting,
     "op7_toxicity_kneser_ney": op7_toxicity_kneser_ney,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from titleforge.llm.byte_bpe import op5_byte_bpe
 from titleforge.llm.decontaminate import op1_cgk_decontamination
 from titleforge.llm.line_rules import OP3_SQL, op3_line_first_cleaning
 from titleforge.llm.near_dup import OP10_SQL, op10_minhash_lsh_forest
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_surrogates": op2_surrogates,
     "op3_line_first_cleaning": op3_line_first_cleaning,
     "op4_preference_formatting": op4_preference_formatting,
+    "op5_byte_bpe": op5_byte_bpe,
     "op7_toxicity_kneser_ney": op7_toxicity_kneser_ney,
     "op9_quality_knn": op9_quality_knn,
     "op10_minhash_lsh_forest": op10_minhash_lsh_forest,

@@ -306,7 +306,7 @@ def hashed_topics(spark, sf):
     # a few fixed examples: their vectors are made on the driver
     rows = [(i, label, V.hashed_vector(" ".join(RULES_SCANNER.meaningful(RULES_SCANNER.words(e))))) for i, (label, examples) in enumerate(X.CATEGORIES.values()) for e in (label, *examples)]
     c = V.centroids(spark.createDataFrame(rows, "ord int, label string, v array<double>").withColumn("k", F.struct("ord", "label")), "k", "v")
-    f = features(spark, sf).select("idx", V.hashing_encoder(F.array_join("tokens", " ")).alias("v"))
+    f = graph.cut(graph.cut(features(spark, sf).select("idx", F.array_join("tokens", " ").alias("t"))).select("idx", V.hashing_encoder(F.col("t")).alias("v")))
     s = f.join(F.broadcast(c)).select("idx", F.col("k.ord").alias("ord"), F.col("k.label").alias("label"), F.round(V.cosine(F.col("v"), F.col("centroid")), 4).alias("score"))
     return V.best_label(s, ["idx"], "label", "score", "ord")
 

@@ -10,6 +10,9 @@ result column has their name, which then wins. An empty table gives an empty res
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +27,24 @@ MENU = r"^(\||>|\u00BB|\u203A|\u00B7|\u2022|/|::)+$|\|$"
 SHOUT = r"(!!+|\?\?+|##+|\*\*+|\$\$+|%%+|&&+)$"
 #: Fixed phrases of page furniture, held against lower-cased lines.
 BOILERPLATE = (
-    "all rights reserved|licensed under the|terms of (use|service)|privacy policy|cookie policy|"
-    "use of cookies|javascript is (disabled|required)|enable javascript|lorem ipsum|"
-    "subscribe to our newsletter|click here to|sign up for|powered by"
+    "all rights reserved",
+    "licensed under the",
+    "terms of use",
+    "terms of service",
+    "privacy policy",
+    "cookie policy",
+    "use of cookies",
+    "javascript is disabled",
+    "javascript is required",
+    "enable javascript",
+    "lorem ipsum",
+    "subscribe to our newsletter",
+    "click here to",
+    "sign up for",
+    "powered by",
 )
+#: Without one of these in the text, no word of it matches MENU or SHOUT.
+MENU_SIGN, SHOUT_SIGN = r"[|>/\u00BB\u203A\u00B7\u2022]|::", r"!!|\?\?|##|\*\*|\$\$|%%|&&"
 
 
 def tokens(text: Column) -> Column:
@@ -62,23 +79,33 @@ def base_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).drop("_at")
 
 
-def line_verdict(line: Column) -> Column:
-    """``punctuation``, ``navigation``, ``boilerplate`` or null for a line that stays."""
+def _furniture(lowered: Column) -> Column:
+    return reduce(or_, (lowered.contains(p) for p in BOILERPLATE))
+
+
+def line_verdict(line: Column, furniture: Column, menus: Column, shouts: Column) -> Column:
+    """``punctuation``, ``navigation``, ``boilerplate`` or null for a line that stays.
+
+    The other arguments tell whether the whole text has any sign of the rule, so most texts skip its tests.
+    """
     w = tokens(line)
     n = F.size(w)
     menu, shout = F.size(F.filter(w, lambda x: x.rlike(MENU))), F.size(F.filter(w, lambda x: x.rlike(SHOUT)))
     return (
-        F.when(F.lower(line).rlike(BOILERPLATE), "boilerplate")
-        .when(10 * menu >= 3 * n, "navigation")
-        .when((10 * shout >= 3 * n) | (~line.rlike(TERMINAL) & (n >= 3)), "punctuation")
+        F.when(furniture & _furniture(F.lower(line)), "boilerplate")
+        .when(menus & (10 * menu >= 3 * n), "navigation")
+        .when((shouts & (10 * shout >= 3 * n)) | (~line.rlike(TERMINAL) & (n >= 3)), "punctuation")
     )
 
 
 def clean_lines(docs: DataFrame, text: str = "text", most_lost: int = 50) -> DataFrame:
     """Base metrics, lines dropped by rule, the cleaned text, and ``kept``."""
-    out = base_metrics(docs, text)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # one array, read three times below: a column read once would be moved into the loop over lines
+    signs = F.array(_furniture(F.lower(whole)), whole.rlike(MENU_SIGN), whole.rlike(SHOUT_SIGN))
+    out = base_metrics(docs, text).withColumn("_signs", signs)
     size = lambda s: F.length(F.translate(s, " \t\n\x0b\x0c\r", ""))
-    judged = F.transform("_lines", lambda s: F.struct(s.alias("line"), size(s).alias("chars"), line_verdict(s).alias("rule")))
+    judged = F.transform("_lines", lambda s: F.struct(s.alias("line"), size(s).alias("chars"), line_verdict(s, *(F.get("_signs", F.lit(k)) for k in range(3))).alias("rule")))
     out = out.withColumn("_judged", judged)
     j = F.col("_judged")
     lost = F.aggregate(F.filter(j, lambda x: x["rule"].isNotNull()), F.lit(0).cast("long"), lambda a, x: a + x["chars"])
@@ -89,7 +116,7 @@ def clean_lines(docs: DataFrame, text: str = "text", most_lost: int = 50) -> Dat
         .withColumn("lost_chars", lost)
         .withColumn("clean_text", F.array_join(F.transform(F.filter(j, lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n"))
         .withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= most_lost * F.col("word_chars")))
-        .drop("_words", "_lines", "_judged")
+        .drop("_words", "_lines", "_judged", "_signs")
     )
 
 
@@ -118,7 +145,7 @@ cov as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(
 lines as (select doc_id, k, ls[k] as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as k from w)),
 parts as (select *, list_filter(string_split_regex(line, {_quoted(SPACE)}), lambda x: x <> '') as lw from lines),
 rated as (select doc_id, k, line, length(array_to_string(lw, '')) as chars,
-  case when regexp_matches(lower(line), {_quoted(BOILERPLATE)}) then 'boilerplate'
+  case when regexp_matches(lower(line), {_quoted('|'.join(BOILERPLATE))}) then 'boilerplate'
        when 10 * len(list_filter(lw, lambda x: regexp_matches(x, {_quoted(MENU)}))) >= 3 * len(lw) then 'navigation'
        when 10 * len(list_filter(lw, lambda x: regexp_matches(x, {_quoted(SHOUT)}))) >= 3 * len(lw)
          or (not regexp_matches(line, {_quoted(TERMINAL)}) and len(lw) >= 3) then 'punctuation' end as rule from parts),

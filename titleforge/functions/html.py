@@ -91,13 +91,13 @@ def title_candidate(page: Column, domain: Column | None = None, site_name: Colum
 
 
 @F.pandas_udf(StringType())
-def _finished(title: pd.Series) -> pd.Series:
+def finished_title(title: pd.Series) -> pd.Series:
     """Rare entities and adjoining repeats, in one pass."""
     return title.map(lambda t: None if t is None else " ".join(collapsed(_html.unescape(t).split())))
 
 
 def page_title(page: Column, domain: Column | None = None, site_name: Column | None = None) -> Column:
-    return _finished(title_candidate(page, domain, site_name))
+    return finished_title(title_candidate(page, domain, site_name))
 
 
 def product_signals(page: Column, url: Column) -> Column:

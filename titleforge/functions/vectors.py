@@ -20,7 +20,7 @@ def hashed_vector(text: str, dim: int = DIM, gram: int = 3) -> list[float]:
     for token in text.split():
         counts[f"w:{token}"] += 2
         padded = f" {token} "
-        counts.update(padded[i : i + gram] for i in range(len(padded) - gram + 1))
+        counts.update(f"c:{padded[i : i + gram]}" for i in range(len(padded) - gram + 1))
     out = [0.0] * dim
     for feature, n in counts.items():
         digest = hashlib.blake2b(feature.encode(), digest_size=8).digest()

@@ -12,7 +12,6 @@ from titleforge.functions import html as H
 from titleforge.functions import similarity as S
 from titleforge.functions import text as T
 from titleforge.functions import vectors as V
-from titleforge.functions.entities import Scanner
 from titleforge.operators import enrich, graph, reports, resolve
 from titleforge.operators import state as st
 from titleforge.plans.derived import (
@@ -36,9 +35,9 @@ from titleforge.plans.derived import (
     title_sql,
     tokens_sql,
 )
+from titleforge.plans.run import topics
 from titleforge.sources import landing
 
-RULES_SCANNER = Scanner(RULES)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -303,11 +302,9 @@ def topic_relevance(spark, sf):
 @query()
 def hashed_topics(spark, sf):
     """Page titles against the built-in categories, by hashed features."""
-    # a few fixed examples: their vectors are made on the driver
-    rows = [(i, label, V.hashed_vector(" ".join(RULES_SCANNER.meaningful(RULES_SCANNER.words(e))))) for i, (label, examples) in enumerate(X.CATEGORIES.values()) for e in (label, *examples)]
-    c = V.centroids(spark.createDataFrame(rows, "ord int, label string, v array<double>").withColumn("k", F.struct("ord", "label")), "k", "v")
+    references = spark.createDataFrame([(i, label, v) for i, (label, v, _, _) in enumerate(topics(list(X.CATEGORIES)))], "ord int, label string, centroid array<double>")
     f = graph.cut(graph.cut(features(spark, sf).select("idx", F.array_join("tokens", " ").alias("t"))).select("idx", V.hashing_encoder(F.col("t")).alias("v")))
-    s = f.join(F.broadcast(c)).select("idx", F.col("k.ord").alias("ord"), F.col("k.label").alias("label"), F.round(V.cosine(F.col("v"), F.col("centroid")), 4).alias("score"))
+    s = f.join(F.broadcast(references)).select("idx", "ord", "label", F.round(V.cosine(F.col("v"), F.col("centroid")), 4).alias("score"))
     return V.best_label(s, ["idx"], "label", "score", "ord")
 
 

@@ -50,11 +50,14 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[str] = []
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *exc) -> None:
+        for name in self.tables:
+            self.spark.sql(f"drop table if exists {name}")
         self.drop(self.root)
 
     def path(self) -> str:
@@ -66,6 +69,12 @@ class Scratch:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
+    def bucketed(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
+        """A table in the shared warehouse whose joins by ``column`` need no shuffle of it."""
+        self.tables.append(f"llm_{uuid.uuid4().hex}")
+        df.write.option("compression", "zstd").bucketBy(buckets, column).sortBy(column).saveAsTable(self.tables[-1])
+        return self.spark.table(self.tables[-1])
+
     def save(self, df: DataFrame) -> DataFrame:
         path = self.path()
         df.write.option("compression", "zstd").parquet(path)
@@ -78,6 +87,16 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose id isn't among ``ids``; rows without id stay. Texts stay in place while the ids are few."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, key, "left_anti").select(*docs.columns)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and ``n + 1`` offsets of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import mixed, steps, table, utf8, words
+from titleforge.llm.common import held, mixed, steps, table, utf8, without, words
 
 SAMPLED, ITEM_BLOCK = 2, 20_000
 #: Chance that a sampled step agrees for a window within the allowed edits (measured lower end), and the recall.
@@ -229,7 +229,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents without any leak; of rows that repeat an id all go, rows without id stay."""
-    return docs.join(find_leaks(docs, benchmark, key, text).select(key).distinct(), key, "left_anti").select(*docs.columns)
+    return without(docs, held(find_leaks(docs, benchmark, key, text).select(key).distinct()), key)
 
 
 def op1_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

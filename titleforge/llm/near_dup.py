@@ -27,14 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import Scratch, hashes, held, mixed, steps, table, utf8, words
+from titleforge.llm.common import BROADCAST_IDS, Scratch, hashes, held, mixed, steps, table, utf8, without, words
 from titleforge.llm.components import components
 
 PERMUTATIONS, TREES, DEPTH, LEAST, NEIGHBOURS, SMALL, HUBS = 128, 32, 8, 5, 4, 48, 3
 #: Equal bits of two 128-bit sketches, at least: 115 are expected at similarity 0.8, 96 lie 5 deviations below.
 EQUAL_BITS = 96
-#: Ids that are broadcast at most, to pick the texts whose sets are needed; beyond, they are joined.
-BROADCAST_IDS = 2_000_000
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -224,7 +222,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
     """The documents that stay: one of each component (its smallest id), with all their columns."""
     found = near_duplicates(docs, key, text, size, percent)
-    return docs.join(found.where(F.col(key) == F.col("component_id")).select(key).distinct(), key, "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    return without(docs, found.where(F.col(key) != F.col("component_id")).select(key).distinct(), key)
 
 
 def op10_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

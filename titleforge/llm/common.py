@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; a longer document is a step by itself.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,7 @@ def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and ``n + 1`` offsets of a string or binary column; nulls are empty."""
+    pa.default_memory_pool().release_unused()  # what the batch before took goes back to the system
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if pa.types.is_null(column.type) or len(column) == 0:

@@ -35,7 +35,7 @@ SAMPLED, ITEM_BLOCK = 2, 20_000
 AGREE, RECALL = 0.55, 0.9999
 REPETITIONS = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLED))
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”‘’«»¿¡–—·•"
-_MOST_KNOWN = 1_000_000
+_MOST_KNOWN = 300_000
 
 
 def normal(word: bytes) -> str:

@@ -36,7 +36,7 @@ _RUNS = re.compile(rb"(.)\1+", re.S)
 
 #: Hashes of (shape, word) by raw word; emptied when full, so its memory is bounded.
 _known: dict[bytes, tuple[int, int]] = {}
-_MOST_KNOWN = 500_000
+_MOST_KNOWN = 100_000
 
 
 def _word_hashes(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from titleforge.llm.common import BROADCAST_IDS, Scratch, hashes, held, mixed, steps, table, utf8, without, words
 from titleforge.llm.components import components
 
-PERMUTATIONS, TREES, DEPTH, LEAST, NEIGHBOURS, SMALL, HUBS = 128, 32, 8, 5, 4, 48, 3
+PERMUTATIONS, TREES, DEPTH, LEAST, NEIGHBOURS, SMALL, HUBS = 128, 32, 8, 5, 2, 24, 2
 #: Equal bits of two 128-bit sketches, at least: 115 are expected at similarity 0.8, 96 lie 5 deviations below.
 EQUAL_BITS = 96
 

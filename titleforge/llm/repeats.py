@@ -108,7 +108,8 @@ class Parse:
         cut = np.flatnonzero(np.append(True, (got[1:] != got[:-1]) | (windows[1:] != windows[:-1] + 1)))
         self.first, self.last = windows[cut], windows[np.append(cut[1:], len(windows)) - 1]
         self.doc = np.searchsorted(offsets, self.first, "right") - 1
-        self.h = gram[got[cut]]
+        # least hashes are small: mixed anew, they fill all buckets alike
+        self.h = mixed(gram[got[cut]])
         self.x = self.hashes.of(self.first, self.last + LENGTH) ^ mixed((got[cut] - self.first).astype(np.uint64))
         self.ids = ids[self.doc]
         rank = np.lexsort((self.first, self.ids, self.x, self.h))

@@ -3,7 +3,8 @@
 Texts are cut into pre-tokens, whose positions stay with their block of documents as numbers into the block's
 list of distinct words. The lists are shuffled by word hash, packed: each distinct word of the corpus is
 encoded once, in the one bucket it falls in, and its ids travel back to the blocks that have it. There the
-numbers are replaced by ids, position by position. Decoding joins the table of token bytes, which is as large as
+numbers are replaced by ids, position by position. The positions themselves are in a table bucketed by block,
+so they are joined without being shuffled. Decoding joins the table of token bytes, which is as large as
 the vocabulary (a fixed, small size), so it is broadcast.
 
 A word is shipped once for each block, however often the block has it, so a word that makes up a third of the
@@ -18,6 +19,8 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from titleforge.llm.common import Scratch, binary, held, steps, table, utf8
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 #: Buckets of words, at most, so that a block's words travel in few rows.
 MOST_BUCKETS = 1024
 _SPACE = np.zeros(256, bool)
@@ -129,21 +132,21 @@ def _numbers_back(blob: bytes) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, key: str, text: str, pattern: str, buckets: int) -> DataFrame:
-    """Rows (block, bucket, keys, payload): bucket -1 has the documents' numbers, others packed words.
+    """Rows (block, bucket, keys, n, payload): bucket -1 has the documents' numbers, others packed words.
 
+    A block's words are numbered by (bucket, word), so the buckets' lists in order need no numbers with them.
     The rows are written to a table once, so numbers and words of a block always come from one run of a task.
     """
     kind = dict(docs.dtypes)[key]
-    schema = f"block string, bucket int, keys array<{kind}>, first binary, payload binary"
+    schema = f"block string, bucket int, keys array<{kind}>, n binary, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         import xxhash
-
-        cut = regex.compile(pattern)
         from pyspark import TaskContext
 
-        names, count = ["block", "bucket", "keys", "first", "payload"], 0
+        cut, one = regex.compile(pattern), xxhash.xxh3_64_intdigest
+        names, count = ["block", "bucket", "keys", "n", "payload"], 0
         types = [pa.string(), pa.int32(), None, pa.binary(), pa.binary()]
         for batch in batches:
             data, offsets = utf8(batch.column(1))
@@ -152,22 +155,23 @@ def _blocks(docs: DataFrame, key: str, text: str, pattern: str, buckets: int) ->
                 part = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], cut)
                 block = f"{TaskContext.get().partitionId()}-{count}"
                 count += 1
-                # frequent words get small numbers, so the stream compresses
-                rank = np.empty(len(part.words), np.int64)
-                rank[np.argsort(-np.bincount(part.stream, minlength=len(part.words)), kind="stable")] = np.arange(len(part.words))
-                order = np.argsort(rank)
-                spread: list[list[int]] = [[] for _ in range(buckets)]
-                for r, i in enumerate(order.tolist()):
-                    spread[xxhash.xxh3_64_intdigest(part.words[i]) % buckets].append(r)
-                rows = [(block, -1, batch.column(0)[lo:hi].to_pylist(), _numbers(np.diff(part.first)), _numbers(rank[part.stream]))]
-                rows += [(block, b, None, _numbers(np.array(rs)), packed([part.words[order[r]] for r in rs])) for b, rs in enumerate(spread) if rs]
+                placed = sorted((one(w) % buckets, w, i) for i, w in enumerate(part.words))
+                slot = np.empty(len(placed), np.int64)
+                slot[np.fromiter((i for *_, i in placed), np.int64, len(placed))] = np.arange(len(placed))
+                # frequent words get small numbers in the stream, so it compresses
+                by_rank = np.argsort(-np.bincount(part.stream, minlength=len(placed)), kind="stable")
+                rank = np.empty(len(placed), np.int64)
+                rank[by_rank] = np.arange(len(placed))
+                rows = [(block, -1, batch.column(0)[lo:hi].to_pylist(), _numbers(np.diff(part.first)), packed([_numbers(rank[part.stream]), _numbers(slot[by_rank])]))]
+                rows += [(block, b, None, None, packed([w for _, w, _ in some])) for b, some in groupby(placed, key=itemgetter(0))]
+                del part, placed
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema)
 
 
 def _encoded(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Words to ids, each distinct word of a bucket once; frames come grouped by bucket."""
+    """(block, bucket, payload): words to ids, each distinct word of a bucket once; frames come sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -176,7 +180,7 @@ def _encoded(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         now, known = None, {}
         for batch in batches:
             out = []
-            for bucket, blob in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for bucket, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if bucket != now:
                     now, known = bucket, {}
                 got = []
@@ -185,8 +189,8 @@ def _encoded(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     if ids is None:
                         ids = known[w] = np.array(encoding.encode_ordinary(w.decode()), "<u4").tobytes()
                     got.append(ids)
-                out.append(packed(got))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], batch.schema.names)
+                out.append(packed([_numbers(np.fromiter((len(g) // 4 for g in got), np.int64, len(got))), _numbers(np.frombuffer(b"".join(got), "<u4"))]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], batch.schema.names)
 
     return words.mapInArrow(run, words.schema)
 
@@ -198,42 +202,34 @@ def encode(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "
     ranks_path, pattern = ranks_path or default_ranks(), pattern or public_tokenizers.PATTERN
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)[key]
-    blocks = scratch.save(_blocks(docs, key, text, pattern, min(2 * parts, MOST_BUCKETS)))
-    words = blocks.where("bucket >= 0").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    back = _encoded(words, ranks_path, pattern).unionByName(blocks.where("bucket < 0"))
+    blocks = scratch.bucketed(_blocks(docs, key, text, pattern, min(2 * parts, MOST_BUCKETS)), "block", parts)
+    words = blocks.where("bucket >= 0").select("block", "bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    back = _encoded(words, ranks_path, pattern).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "payload"))).alias("lists"))
+    both = blocks.where("bucket < 0").select("block", "keys", "n", "payload").join(back.hint("shuffle_merge"), "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in batches:
-            for block, bucket, keys, first, blob in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if kept is None or kept[0] != block:
-                    kept = (block, [], [])
-                if bucket >= 0:
-                    kept[1].append(_numbers_back(first))
-                    kept[2].extend(unpacked(blob))
-                    continue
-                # the documents' row is the block's last
-                n, stream = _numbers_back(first), _numbers_back(blob)
-                order = np.concatenate(kept[1]) if kept[1] else np.zeros(0, np.int64)
-                many = np.zeros(len(order) + 1, np.int64)
-                size = np.fromiter((len(x) // 4 for x in kept[2]), np.int64, len(kept[2]))
-                flat = np.frombuffer(b"".join(kept[2]), "<u4").astype(np.int32)
-                begin = np.zeros(len(order), np.int64)
-                begin[order], many[order] = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size, size
-                ends = np.concatenate(([0], np.cumsum(n)))
-                lo = 0
+        for whole in batches:
+            for row in range(len(whole)):
+                batch = whole.slice(row, 1)
+                keys, n, payload, lists = (batch.column(c)[0].as_py() for c in ("keys", "n", "payload", "lists"))
+                n, (stream, slot) = _numbers_back(n), map(_numbers_back, unpacked(payload))
+                pairs = [tuple(map(_numbers_back, unpacked(x["payload"]))) for x in lists or ()]
+                size = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
+                flat = np.concatenate([p[1] for p in pairs]).astype(np.int32) if pairs else np.zeros(0, np.int32)
+                del pairs, lists, payload
+                # from here on words go by their rank in the stream
+                begin, many = (np.cumsum(size) - size)[slot], size[slot]
+                ends, lo = np.concatenate(([0], np.cumsum(n))), 0
                 while lo < len(keys):
-                    hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + 500_000, "right")) - 1)
+                    hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + 200_000, "right")) - 1)
                     codes = stream[ends[lo] : ends[hi]]
                     got = many[codes]
                     to = np.concatenate(([0], np.cumsum(got)))
                     ids = flat[np.repeat(begin[codes] - to[:-1], got) + np.arange(to[-1])] if len(codes) else flat[:0]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi], pa.from_numpy_dtype(np.int64) if kind == "bigint" else None), pa.ListArray.from_arrays(pa.array(to[ends[lo : hi + 1] - ends[lo]].astype(np.int32)), pa.array(ids))], [key, "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi], whole.schema.field("keys").type.value_type), pa.ListArray.from_arrays(pa.array(to[ends[lo : hi + 1] - ends[lo]].astype(np.int32)), pa.array(ids))], [key, "ids"])
                     lo = hi
-                kept = None
 
-    # a block's words come before its documents
-    return back.repartition(parts, "block").sortWithinPartitions("block", F.col("bucket").desc()).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return both.select("keys", "n", "payload", "lists").mapInArrow(run, f"{key} {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ids: str = "ids", into: str = "decoded", ranks_path: str | None = None) -> DataFrame:

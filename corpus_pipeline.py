@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from titleforge.llm import byte_bpe, decontaminate, near_dup, quality_knn, surrogates
 from titleforge.llm.common import Scratch, held, table
 
+#: Words of a shingle in the near_duplicates stage; op10's sets of two words are its own contract.
+SHINGLE = 5
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose nearest labelled neighbours vote for them; a classifier without labels keeps all."""
@@ -21,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id."""
-    return near_dup.mark(docs).select(*docs.columns)
+    """One document of each group of near-duplicates, by sets of SHINGLE words: that of the smallest id."""
+    return near_dup.mark(docs, size=SHINGLE).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

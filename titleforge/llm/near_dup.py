@@ -46,7 +46,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 2) -> Iterat
     word = hashes(distinct, 11)[codes] if len(codes) else np.zeros(0, np.uint64)
     chain = word.copy()
     for k in range(1, size):
-        chain[: len(chain) - k] = mixed(chain[: len(chain) - k] * np.uint64(0x9E3779B97F4A7C15) + word[k:])
+        head = max(len(chain) - k, 0)
+        chain[:head] = mixed(chain[:head] * np.uint64(0x9E3779B97F4A7C15) + word[k:])
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= size:
             yield np.unique(chain[a : b - size + 1])

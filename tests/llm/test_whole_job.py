@@ -1,7 +1,10 @@
+import random
+
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from titleforge.llm import near_dup
+from titleforge.llm import decontaminate, near_dup
 
 
 def _five(text):
@@ -50,3 +53,22 @@ def test_near_duplicate_stage_by_brute_force(spark):
 def test_five_word_sets_of_few_words():
     sets = list(near_dup.shingle_sets(np.frombuffer(b"a b c", np.uint8), np.array([0, 5]), 5))
     assert [len(s) for s in sets] == [1]
+
+
+def recall_of_deletions(n, trials=100):
+    """The share of items of ``n`` words that are found with a fifth of their words deleted."""
+    rng = random.Random(n)
+    items = [[f"w{rng.randrange(5000)}" for _ in range(n)] for _ in range(trials)]
+    texts = []
+    for item in items:
+        gone = set(rng.sample(range(n), n // 5))
+        around = [[f"x{rng.randrange(5000)}" for _ in range(30)] for _ in "ab"]
+        texts.append(" ".join([*around[0], *(w for i, w in enumerate(item) if i not in gone), *around[1]]).encode())
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    found = {(d, i) for d, i, *_ in decontaminate.matches(decontaminate.Items(list(range(trials)), [" ".join(x) for x in items], 20), data, offsets)}
+    return len({(i, i) for i in range(trials)} & found) / trials
+
+
+@pytest.mark.parametrize("n", [5, 14, 20, 60, 100, 200])
+def test_leaks_with_all_allowed_deletions_are_found(n):
+    assert recall_of_deletions(n) == 1

@@ -1,14 +1,13 @@
-"""Benchmark decontamination by the CGK embedding and bit-sampling LSH.
+"""Benchmark decontamination: a lossless q-gram screen, then exact word edit distance.
 
-Items and documents are sequences of normal words (lower case, outer marks stripped, empty ones dropped). The
-CGK random walk maps an item-sized window to a string of steps whose Hamming distance follows the edit
-distance. Each repetition walks anew and samples SAMPLED steps; a window meets an item where all samples of a
-repetition agree. The number of repetitions follows from the recall aimed at. Meetings are verified exactly:
-the least word edit distance of the item to any stretch near the window, at most ``edits`` of the item's words.
+Items and documents are sequences of normal words (lower case, outer marks stripped, empty ones dropped). A
+window is screened by the q-gram lemma: a stretch within k edits of an item of n words shares at least
+n - q + 1 - q * k of its q-grams, with starts at most 2 k apart (q is the longest size for which that number is
+at least 1). Every window that passes is verified exactly: the least word edit distance of the item to any
+stretch near the window, at most ``edits`` of the item's words. So no leak within the bound is missed.
 
-Windows are first screened without loss: by the q-gram lemma, a stretch within k edits of an item of n words
-shares at least n - q + 1 - q * k of its q-grams, with starts at most 2 k apart (q is the longest size for
-which that number is at least 1).
+CGK walks with bit-sampled keys once chose which of these windows to verify. Fixed repetitions lost leaks, the
+more the longer the item, and hardly a window was spared; so keys no longer decide.
 
 Items are broadcast in blocks of at most ITEM_BLOCK rows; further blocks are further passes over the documents.
 
@@ -19,7 +18,6 @@ item in one document count once, the closest (then the first) stretch. Empty tab
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,10 +28,7 @@ from pyspark.sql import functions as F
 
 from titleforge.llm.common import held, mixed, steps, table, utf8, without, words
 
-SAMPLED, ITEM_BLOCK = 2, 20_000
-#: Chance that a sampled step agrees for a window within the allowed edits (measured lower end), and the recall.
-AGREE, RECALL = 0.55, 0.9999
-REPETITIONS = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLED))
+ITEM_BLOCK = 20_000
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”‘’«»¿¡–—·•"
 _MOST_KNOWN = 300_000
 
@@ -64,7 +59,6 @@ class Items:
             order = np.argsort(keys, kind="stable")
             distinct, first = np.unique(keys[order], return_index=True)
             self.grams[q] = (distinct, np.append(first, len(keys)), item[order], offset[order])
-        self.keys = [cgk_keys(w[None, :])[0] if len(w) else None for w in self.words]
         self.known: dict[bytes, int] = {}
 
     def codes(self, distinct: pa.Array) -> np.ndarray:
@@ -87,31 +81,6 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def cgk_keys(windows: np.ndarray) -> np.ndarray:
-    """Keys (windows x REPETITIONS) of windows of equal size.
-
-    A walk stands on a word, emits it, and by a random bit of (repetition, step, word) stays or moves on;
-    past the end it emits nothing. A key joins the emissions of SAMPLED random steps among the first 3/2 n.
-    """
-    m, n = windows.shape
-    length = max(1, 3 * n // 2)
-    rng = np.random.default_rng(n)
-    sampled = np.zeros((length, REPETITIONS), bool)
-    for r in range(REPETITIONS):
-        sampled[rng.choice(length, min(SAMPLED, length), replace=False), r] = True
-    salts = rng.integers(0, 1 << 63, (length, REPETITIONS), dtype=np.uint64)
-    padded = np.concatenate([windows, np.zeros((m, 1), np.int64)], 1).astype(np.uint64)
-    rows, at = np.arange(m)[:, None], np.zeros((m, REPETITIONS), np.int64)
-    out = np.zeros((m, REPETITIONS), np.uint64)
-    for j in range(length):
-        symbol = padded[rows, at]
-        now = sampled[j]
-        out[:, now] = out[:, now] * np.uint64(0x9E3779B97F4A7C15) + symbol[:, now] + np.uint64(1)
-        at += (((symbol + salts[j]) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(np.int64)
-        np.minimum(at, n, out=at)
-    return out
-
-
 def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(edits, start, end) of the stretch of ``text`` closest to the item; the earliest, then the shortest."""
     m = len(text)
@@ -176,17 +145,8 @@ def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> Iterator[tup
     kept = np.flatnonzero(np.cumsum(reach[:-1]) > 0)
     kept = kept[np.append(True, line[kept][1:] != line[kept][:-1])] if len(kept) else kept
     doc, item, diagonal = doc[kept], item[kept], diagonal[kept]
-    met = np.zeros(len(kept), bool)
-    for n in np.unique(items.n[item]).tolist():
-        of = np.flatnonzero(items.n[item] == n)
-        for lo in range(0, len(of), 4096):
-            part = of[lo : lo + 4096]
-            place = diagonal[part, None] + np.arange(n)
-            inside = (place >= bounds[doc[part]][:, None]) & (place < bounds[doc[part] + 1][:, None])
-            windows = np.where(inside, codes[np.clip(place, 0, len(codes) - 1)], 0)
-            met[part] = (cgk_keys(windows) == np.stack([items.keys[i] for i in item[part]])).any(1)
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for d, i, s in zip(doc[met].tolist(), item[met].tolist(), diagonal[met].tolist(), strict=True):
+    for d, i, s in zip(doc.tolist(), item.tolist(), diagonal.tolist(), strict=True):
         k, n = int(items.edits[i]), int(items.n[i])
         lo, hi = max(s - k, int(bounds[d])), min(s + n + k, int(bounds[d + 1]))
         edits, a, b = best_stretch(items.words[i], codes[lo:hi])

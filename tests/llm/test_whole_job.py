@@ -72,3 +72,35 @@ def recall_of_deletions(n, trials=100):
 @pytest.mark.parametrize("n", [5, 14, 20, 60, 100, 200])
 def test_leaks_with_all_allowed_deletions_are_found(n):
     assert recall_of_deletions(n) == 1
+
+
+def test_twins_in_a_family_below_the_bound(spark):
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(120)]
+    ids, rows = rng.sample(range(100_000), 400), []
+    for i in range(0, 400, 2):
+        # of five changed words twins share two (similarity 0.82); others share none (0.71 to 0.79)
+        places = rng.sample(range(2, 118, 3), 8)
+        for own, at in ((0, places[2:5]), (1, places[5:])):
+            text = list(template)
+            for k in (*places[:2], *at):
+                text[k] = f"u{i}" if k in places[:2] else f"u{i + own}x{k}"
+            rows.append((ids[i + own], text))
+    rows = [(i, " ".join(t)) for i, t in rows]
+    sets = {i: frozenset(zip(t.split(), t.split()[1:])) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = {i: find(i) for i in sets}
+    assert 100 < len(set(want.values())) < 300
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want

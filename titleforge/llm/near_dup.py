@@ -5,7 +5,8 @@ orders of its signature, each by DEPTH signature values. In each order a text is
 NEIGHBOURS whose common prefix has at least LEAST values; in a crowded region neighbours share more, so the
 depth adapts to the region. In regions of up to SMALL texts all pairs are candidates; in larger ones each text
 is also paired with the region's hubs, the HUBS texts closest to the majority of its sketches, as copies of
-one original lie closer to it than to each other. Pairs pass a 128-bit sketch of the signature and are then
+one original lie closer to it than to each other. What these leave out is made up for at the end: all pairs of
+larger regions that are still in different components are candidates too, without any cap. Pairs pass a 128-bit sketch of the signature and are then
 confirmed on full shingle sets. Links go to components in rounds: each text's closest pairs first, then the closest pairs between
 components, then all pairs that still cross components; so large groups are linked without all their pairs.
 
@@ -168,6 +169,47 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _linked(label: DataFrame, rest: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Components after the pairs (a, b, near) are confirmed too: the closest between components, then all that still cross."""
+    for last in (False, True):
+        label = scratch.save(label)
+        for end in ("a", "b"):
+            rest = rest.drop(f"c{end}").join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+        rest = scratch.save(rest.where("ca <> cb").select("a", "b", "near", "ca", "cb"))
+        if rest.isEmpty():
+            break
+        chosen = rest
+        if not last:
+            sides = (F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"))
+            chosen = scratch.save(rest.groupBy(*sides).agg(F.max_by(F.struct("a", "b"), F.struct("near", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b"))
+        more = scratch.save(confirmed(chosen, sets, percent))
+        old = label.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        label = components(old.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))), scratch)
+        rest = rest.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
+    return label
+
+
+def _crossing(entries: DataFrame, label: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """(a, b, near) of all pairs of crowded regions that lie in different components and pass the sketch."""
+    word = lambda k: F.conv(F.hex(F.substring("sketch", 4 * k + 1, 4)), 16, 10).cast("long")
+    placed = entries.withColumn("region", F.xxhash64("tree", F.substring("key", 1, 2 * LEAST)))
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    crowded = scratch.save(placed.groupBy("region").count().where(F.col("count") > SMALL).select("region"))
+    if crowded.isEmpty():
+        return None
+    within = placed.join(few(crowded), "region", "left_semi").select("region", "id", "n", *(word(k).alias(f"w{k}") for k in range(4)))
+    within = scratch.save(within.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"))
+    mixed_up = scratch.save(within.groupBy("region").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("region"))
+    if mixed_up.isEmpty():
+        return None
+    within = within.join(few(mixed_up), "region", "left_semi")
+    x, y = (within.select("region", *(F.col(c).alias(f"{side}_{c}") for c in within.columns if c != "region")) for side in "xy")
+    other = sum((F.bit_count(F.col(f"x_w{k}").bitwiseXOR(F.col(f"y_w{k}"))) for k in range(4)), F.lit(0))
+    near = (x.join(y, "region").where((F.col("x_id") < F.col("y_id")) & (F.col("x_c") != F.col("y_c")) & (128 - other >= EQUAL_BITS))
+            .where(100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")))
+    return near.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), (128 - other).cast("long").alias("near")).groupBy("a", "b").agg(F.max("near").alias("near"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) of each row; computed, and held in the checkpoint folder."""
     spark = docs.sparkSession
@@ -195,22 +237,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         chosen = scratch.save(chosen)
         links = scratch.save(confirmed(chosen, sets, percent))
         label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-        rest = pairs.join(chosen, ["a", "b"], "left_anti")
-        for last in (False, True):
-            label = scratch.save(label)
-            for end in ("a", "b"):
-                rest = rest.drop(f"c{end}").join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-            rest = scratch.save(rest.where("ca <> cb").select("a", "b", "near", "ca", "cb"))
-            if rest.isEmpty():
-                break
-            chosen = rest
-            if not last:
-                sides = (F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"))
-                chosen = scratch.save(rest.groupBy(*sides).agg(F.max_by(F.struct("a", "b"), F.struct("near", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b"))
-            more = scratch.save(confirmed(chosen, sets, percent))
-            old = label.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-            label = components(old.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))), scratch)
-            rest = rest.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
+        label = _linked(label, pairs.join(chosen, ["a", "b"], "left_anti"), sets, percent, scratch)
+        # pairs that the caps of crowded regions left out
+        label = scratch.save(label)
+        left = _crossing(entries, label, percent, scratch)
+        if left is not None:
+            left = scratch.save(left.join(pairs, ["a", "b"], "left_anti"))
+            ids = scratch.save(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct())
+            named = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+            label = _linked(label, left, scratch.save(sets_of(named, "id", "t", size)).dropDuplicates(["id"]), percent, scratch)
         out = (
             sig.select("id", "n", "f1", "f2")
             .join(classes, ["n", "f1", "f2"], "left")

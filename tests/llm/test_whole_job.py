@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from titleforge.llm import decontaminate, near_dup
+from titleforge.llm import decontaminate, near_dup, surrogates
 
 
 def _five(text):
@@ -104,3 +104,16 @@ def test_twins_in_a_family_below_the_bound(spark):
     assert 100 < len(set(want.values())) < 300
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+@pytest.mark.parametrize(
+    "kind, spellings",
+    [("card", ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"]), ("phone", ["+49 30 1234 5678", "+493012345678", "+49-30-1234-5678"]), ("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"])],
+)
+def test_one_surrogate_for_all_spellings_of_a_number(kind, spellings):
+    bare = lambda t: "".join(c for c in t if c.isalnum())
+    found = [surrogates.entities(f"see {t} here") for t in spellings]
+    assert all([f[0] for f in x] == [kind] for x in found)
+    new = [surrogates.surrogate(kind, t, x[0][3], 0) for t, x in zip(spellings, found, strict=True)]
+    assert len(set(map(bare, new))) == 1 and bare(new[0]) != bare(spellings[0])
+    assert [[c for c in t if not c.isalnum()] for t in new] == [[c for c in t if not c.isalnum()] for t in spellings]

@@ -62,6 +62,8 @@ KINDS = {
     "hex": r"\b(?P<hex>(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,128})\b",
     "name": rf"\b(?P<title>{_TITLE})\.?[ \u00A0](?P<name>{_CAP}(?:[ \u00A0]{_CAP}){{0,2}})",
 }
+#: Calling codes: none is the beginning of another.
+_CALLING = re.compile(r"\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 PATTERN = re.compile("|".join(KINDS.values()))
 #: Texts without a match of this have no entity (RE2).
 SIGN = rf"[0-9@]|(?:{_TITLE})\.?[ \x{{A0}}]\p{{Lu}}|(?i:token|api.?key|secret|passw|access.?key)"
@@ -83,10 +85,17 @@ def entities(text: str) -> list[tuple[str, int, int, str]]:
         if kind == "email":
             raw = raw.rstrip(".-_")
         a = m.start(kind)
-        out.append((kind, a, a + len(raw), raw.lower() if kind == "email" else raw))
+        out.append((kind, a, a + len(raw), _normal(kind, raw)))
     return out
 
 
+def _normal(kind: str, raw: str) -> str:
+    """Emails in lower case; numbers by their digits and letters, and a phone's plus, however they are spaced."""
+    if kind in ("phone", "card", "iban", "ssn"):
+        return ("+" if kind == "phone" and raw.startswith("+") else "") + "".join(c for c in raw if c.isalnum())
+    return raw.lower() if kind == "email" else raw
+
+
 def _stream(kind: str, value: str, attempt: int, key: bytes) -> Iterator[int]:
     block = 0
     while True:
@@ -98,6 +107,9 @@ def _reshaped(value: str, stream: Iterator[int]) -> str:
     """Digits to digits and letters to letters of the same case and script; the rest stays."""
     out = []
     for c in value:
+        if not c.isalnum():  # spacing takes nothing of the stream, so all spellings get the same digits
+            out.append(c)
+            continue
         b = next(stream) | next(stream) << 8
         if c.isdigit():
             out.append(chr(ord(c) - int(c) + b % 10) if c.isdecimal() else str(b % 10))
@@ -145,8 +157,10 @@ def surrogate(kind: str, raw: str, normal: str, attempt: int, key: bytes = KEY)
     if kind == "iban":
         return raw[:2] + _reshaped(raw[2:], stream)
     if kind == "phone" and raw.startswith("+"):
-        code = re.match(r"\+\d{1,3}", raw)[0] if re.match(r"\+\d{1,3}[ .\-(]", raw) else "+"
-        return code + _reshaped(raw[len(code) :], stream)
+        # the calling code stays; it is told by its digits, as not all spellings part it off
+        code = len(_CALLING.match(normal)[1])
+        at = [i for i, c in enumerate(raw) if c.isdigit()][code - 1] + 1
+        return raw[:at] + _reshaped(raw[at:], stream)
     return _reshaped(raw, stream)
 
 
@@ -175,7 +189,7 @@ def _assigned(distinct: DataFrame, key: bytes) -> DataFrame:
         for batch in batches:
             kinds, normals, raws, attempts = (batch.column(c).to_pylist() for c in ("kind", "normal", "raw", "attempt"))
             # surrogates are compared in normal form, as entities are
-            out = [surrogate(k, r, n, a, key).lower() for k, n, r, a in zip(kinds, normals, raws, attempts, strict=True)]
+            out = [_normal(k, surrogate(k, r, n, a, key)).lower() for k, n, r, a in zip(kinds, normals, raws, attempts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "new"])
 
     return distinct.mapInArrow(run, "kind string, normal string, raw string, attempt int, new string")

@@ -20,7 +20,8 @@ PAGES = [
 
 def test_titles(spark):
     df = spark.createDataFrame([(i, h, u) for i, (h, u, _) in enumerate(PAGES)], "i int, h string, u string")
-    got = {r.i: r.t for r in df.select("i", H.page_title(F.col("h"), H.domain_of(F.col("u"))).alias("t")).collect()}
+    for _ in range(3):  # the plan must hold more than once in a session
+        got = {r.i: r.t for r in H.with_title(df, F.col("h"), H.domain_of(F.col("u")), into="t").collect()}
     assert [got[i] for i in range(len(PAGES))] == [w for *_, w in PAGES]
 
 

@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -96,8 +96,14 @@ def finished_title(title: pd.Series) -> pd.Series:
     return title.map(lambda t: None if t is None else " ".join(collapsed(_html.unescape(t).split())))
 
 
-def page_title(page: Column, domain: Column | None = None, site_name: Column | None = None) -> Column:
-    return finished_title(title_candidate(page, domain, site_name))
+def with_title(pages: DataFrame, page: Column, domain: Column | None = None, site_name: Column | None = None, into: str = "title") -> DataFrame:
+    """Adds the finished title.
+
+    The candidate passes a generator of one row, so that the Python function reads a plain column: with lambdas in
+    its argument the optimizer may leave the function where it can't be evaluated.
+    """
+    out = pages.select("*", F.explode(F.array(title_candidate(page, domain, site_name))).alias("_candidate"))
+    return out.withColumn(into, finished_title("_candidate")).drop("_candidate")
 
 
 def product_signals(page: Column, url: Column) -> Column:

@@ -163,7 +163,7 @@ def content_metrics(spark, sf):
 
 @query()
 def collapsed_titles(spark, sf):
-    return table(spark, sf, "pages").select("page_id", H.page_title(F.col("html"), H.domain_of(F.col("url"))).alias("title"))
+    return H.with_title(table(spark, sf, "pages"), F.col("html"), H.domain_of(F.col("url"))).select("page_id", "title")
 
 
 # --- blocking and similarity ---

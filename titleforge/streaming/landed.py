@@ -12,7 +12,7 @@ from titleforge.functions import html as H
 
 def titles(pages: DataFrame) -> DataFrame:
     """(url, domain, title) of pages with a title, of any frame, streaming or not."""
-    out = pages.select("url", H.domain_of(F.col("url")).alias("domain"), H.page_title(F.col("html")).alias("title"))
+    out = H.with_title(pages, F.col("html")).select("url", H.domain_of(F.col("url")).alias("domain"), "title")
     return out.where("title <> ''")
 
 

@@ -227,20 +227,21 @@ def test_token_files(spark, odd, empty, tmp_path):
         bits, at = token_files.pack_bits(ids, ends, token_files.canonical(lengths), lengths)
         assert (token_files.Decoder(lengths).stretches(bits.tobytes(), at[[0, 10, 700]], np.array([10, 690, 4300])) == ids).all()
     tok = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
+    special = [(20, "a <|endoftext|> b"), (21, "x\n\n <|endoftext|><|endoftext|>y"), (22, "w<|endoftext|>")]
     with Scratch(spark) as scratch:
         path = str(tmp_path / "files")
-        token_files.write_files(odd.select("doc_id", "text"), path, scratch)
+        token_files.write_files(odd.select("doc_id", "text").unionByName(spark.createDataFrame(special, "doc_id long, text string")), path, scratch)
         before = {r.file: r.before for r in token_files.starts(spark, path).collect()}
         got = sorted(((before[r.file] + r.start_in_file, r.doc_id, list(r.ids)) for r in token_files.read_files(spark, path).collect()), key=lambda r: r[0])
         token_files.write_files(empty, str(tmp_path / "none"), scratch)
         assert token_files.read_files(spark, str(tmp_path / "none")).count() == 0
-    assert [i for _, i, _ in got] == sorted((i for i, _ in ODD), key=lambda i: -1 if i is None else i)
+    assert [i for _, i, _ in got] == sorted((i for i, _ in (*ODD, *special)), key=lambda i: -1 if i is None else i)
+    assert tok.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     start = 0
     for s, _, ids in got:
         assert s == start
         start += len(ids)
-    want = sorted([*tok.encode(t or "", add_special_tokens=False).ids, 0] for _, t in ODD)
+    want = sorted([*tok.encode(t or "", add_special_tokens=False).ids, 0] for _, t in (*ODD, *special))
     assert sorted(ids for *_, ids in got) == want
 
 

@@ -12,8 +12,9 @@ File format, in a folder:
 Files are ranges of keys in ascending order; rows without key come first. Global counts give the code
 lengths (at most one row a vocabulary entry reaches the driver).
 
-Defined results: null and empty texts have the end id only. Rows that repeat a key are written one by one,
-in the order of their contents. An empty table gives empty files.
+Defined results: null and empty texts have the end id only. Special tokens in a text get their own ids, as in the
+library's default. Rows that repeat a key are written one by one, in the order of their contents. A very long text
+is a block by itself. Other columns are not read. An empty table gives empty files.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from titleforge.llm.common import Scratch, held, steps, table, utf8
 LIMIT, STRIDE, BLOCK_IDS = 16, 256, 1 << 19
 BLOCK_BYTES = 4 << 20
 END_ID = 0
+#: Ids of pieces that a worker has met; emptied when full, so its memory is bounded.
 _known: dict[bytes, bytes] = {}
 _MOST_KNOWN = 1_500_000
 
@@ -127,6 +129,49 @@ class Decoder:
         return out
 
 
+class Pieces:
+    """The library's ids of single pieces, which are cut at places where the library cuts any text.
+
+    Many pieces go through one call, parted by a special token, whose id then parts their ids. Pieces that hold an
+    added token themselves go one by one, so the library treats it as it does in a whole text.
+    """
+
+    def __init__(self, path: str):
+        import tokenizers
+
+        self.tok = tokenizers.Tokenizer.from_file(path)
+        added = self.tok.get_added_tokens_decoder()
+        if any(any(c.isspace() for c in t.content) for t in added.values()):
+            raise ValueError("added tokens with white space can't be told piece by piece")
+        self.added = [t.content.encode() for t in added.values()]
+        plain = sorted(i for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word))
+        self.bar, self.bar_id = (added[plain[0]].content, plain[0]) if plain else (None, None)
+
+    def _alone(self, pieces: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([w.decode() for w in pieces], add_special_tokens=False)]
+
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Little-endian ids of each piece."""
+        odd = {i for i, w in enumerate(pieces) if any(t in w for t in self.added)} if self.bar else set(range(len(pieces)))
+        out = [b""] * len(pieces)
+        for i, got in zip(sorted(odd), self._alone([pieces[i] for i in sorted(odd)]), strict=True):
+            out[i] = got
+        rest = [i for i in range(len(pieces)) if i not in odd] if odd else list(range(len(pieces)))
+        for a in range(0, len(rest), 2000):
+            some = rest[a : a + 2000]
+            [whole] = self.tok.encode_batch_fast([self.bar.join([pieces[i].decode() for i in some])], add_special_tokens=False)
+            ids = np.array(whole.ids, "<u4")
+            bars = np.flatnonzero(ids == self.bar_id)
+            if len(bars) != len(some) - 1:
+                for i, got in zip(some, self._alone([pieces[i] for i in some]), strict=True):
+                    out[i] = got
+                continue
+            raw, at = ids.tobytes(), (4 * bars).tolist()
+            for i, lo, hi in zip(some, [0, *(x + 4 for x in at)], [*at, len(raw)], strict=True):
+                out[i] = raw[lo:hi]
+        return out
+
+
 def _encoded(docs: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
     """(keys, n, pieces, sizes, ids): blocks of documents as numbers of distinct pieces, and the pieces' ids."""
     kind = dict(docs.dtypes)[key]
@@ -135,10 +180,7 @@ def _encoded(docs: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tokenizers
-
-        tok = tokenizers.Tokenizer.from_file(tokenizer)
-        tok.encode_special_tokens = True
+        library = Pieces(tokenizer)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for lo, hi in steps(offsets, BLOCK_BYTES):
@@ -146,15 +188,14 @@ def _encoded(docs: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
                 raw = distinct.to_pylist()
                 if len(_known) > _MOST_KNOWN:
                     _known.clear()
-                new = [w for w in raw if w not in _known]
-                for a in range(0, len(new), 10_000):
-                    some = new[a : a + 10_000]
-                    for w, e in zip(some, tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                        _known[w] = np.array(e.ids, "<u4").tobytes()
+                told = list(map(_known.get, raw))
+                new = [i for i, g in enumerate(told) if g is None]
+                for i, g in zip(new, library.ids([raw[i] for i in new]), strict=True):
+                    told[i] = _known[raw[i]] = g
                 rank = np.argsort(-np.bincount(codes, minlength=len(raw)), kind="stable")
                 place = np.empty(len(raw), np.int64)
                 place[rank] = np.arange(len(raw))
-                got = [_known[raw[i]] for i in rank.tolist()]
+                got = [told[i] for i in rank.tolist()]
                 sizes = np.fromiter((len(g) // 4 for g in got), np.int64, len(got))
                 ids = np.frombuffer(b"".join(got), "<u4")
                 row = {"keys": pa.array([batch.column(0)[lo:hi].to_pylist()], pa.list_(batch.column(0).type)), "n": [_numbers(np.diff(first))], "pieces": [_numbers(place[codes])], "sizes": [_numbers(sizes)], "ids": [_numbers(ids)]}

@@ -132,43 +132,45 @@ class Decoder:
 class Pieces:
     """The library's ids of single pieces, which are cut at places where the library cuts any text.
 
-    Many pieces go through one call, parted by a special token, whose id then parts their ids. Pieces that hold an
-    added token themselves go one by one, so the library treats it as it does in a whole text.
+    Many pieces go through one call as one text. Tokens of a byte-level vocabulary have one character a byte, so the
+    lengths of the tokens tell where each piece's ids end. Pieces that don't open with white space, that close with
+    it or hold an added token go one by one, so the library treats them as it does in a whole text.
     """
 
     def __init__(self, path: str):
         import tokenizers
 
         self.tok = tokenizers.Tokenizer.from_file(path)
-        added = self.tok.get_added_tokens_decoder()
-        if any(any(c.isspace() for c in t.content) for t in added.values()):
+        added = {t.content for t in self.tok.get_added_tokens_decoder().values()}
+        if any(any(c.isspace() for c in t) for t in added):
             raise ValueError("added tokens with white space can't be told piece by piece")
-        self.added = [t.content.encode() for t in added.values()]
-        plain = sorted(i for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word))
-        self.bar, self.bar_id = (added[plain[0]].content, plain[0]) if plain else (None, None)
+        self.added = [t.encode() for t in added]
+        vocabulary = self.tok.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)
 
     def _alone(self, pieces: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([w.decode() for w in pieces], add_special_tokens=False)]
 
+    def _together(self, pieces: list[bytes]) -> list[bytes]:
+        [whole] = self.tok.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)
+        ids = np.array(whole.ids, "<u4")
+        ends, wanted = np.cumsum(self.bytes[ids]), np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        cut = np.searchsorted(ends, wanted)
+        if not len(ids) or cut[-1] != len(ids) - 1 or (ends[cut] != wanted).any():
+            return self._alone(pieces)
+        raw, at = ids.tobytes(), [0, *(4 * cut + 4).tolist()]
+        return [raw[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)]
+
     def ids(self, pieces: list[bytes]) -> list[bytes]:
         """Little-endian ids of each piece."""
-        odd = {i for i, w in enumerate(pieces) if any(t in w for t in self.added)} if self.bar else set(range(len(pieces)))
+        odd = [not w[:1].isspace() or w.decode()[-1].isspace() or any(t in w for t in self.added) for w in pieces]
         out = [b""] * len(pieces)
-        for i, got in zip(sorted(odd), self._alone([pieces[i] for i in sorted(odd)]), strict=True):
-            out[i] = got
-        rest = [i for i in range(len(pieces)) if i not in odd] if odd else list(range(len(pieces)))
-        for a in range(0, len(rest), 2000):
-            some = rest[a : a + 2000]
-            [whole] = self.tok.encode_batch_fast([self.bar.join([pieces[i].decode() for i in some])], add_special_tokens=False)
-            ids = np.array(whole.ids, "<u4")
-            bars = np.flatnonzero(ids == self.bar_id)
-            if len(bars) != len(some) - 1:
-                for i, got in zip(some, self._alone([pieces[i] for i in some]), strict=True):
-                    out[i] = got
-                continue
-            raw, at = ids.tobytes(), (4 * bars).tolist()
-            for i, lo, hi in zip(some, [0, *(x + 4 for x in at)], [*at, len(raw)], strict=True):
-                out[i] = raw[lo:hi]
+        alone, rest = [i for i, o in enumerate(odd) if o], [i for i, o in enumerate(odd) if not o]
+        for some, take in [(alone, self._alone), *((rest[a : a + 20_000], self._together) for a in range(0, len(rest), 20_000))]:
+            for i, got in zip(some, take([pieces[i] for i in some]), strict=True):
+                out[i] = got
         return out
 
 

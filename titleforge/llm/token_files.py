@@ -36,7 +36,8 @@ BLOCK_BYTES = 4 << 20
 END_ID = 0
 #: Ids of pieces that a worker has met; emptied when full, so its memory is bounded.
 _known: dict[bytes, bytes] = {}
-_MOST_KNOWN = 1_500_000
+_MOST_KNOWN = 900_000
+_WHITE = frozenset(b" \t\n\v\f\r\x1c\x1d\x1e\x1f")
 
 
 def default_tokenizer() -> str:
@@ -165,7 +166,10 @@ class Pieces:
 
     def ids(self, pieces: list[bytes]) -> list[bytes]:
         """Little-endian ids of each piece."""
-        odd = [not w[:1].isspace() or w.decode()[-1].isspace() or any(t in w for t in self.added) for w in pieces]
+        held = b"".join(pieces)
+        odd = [w[0] not in _WHITE or w[-1] in _WHITE or (w[-1] > 127 and w[-3:].decode(errors="ignore")[-1:].isspace()) for w in pieces]
+        if any(t in held for t in self.added):
+            odd = [o or any(t in w for t in self.added) for o, w in zip(odd, pieces, strict=True)]
         out = [b""] * len(pieces)
         alone, rest = [i for i, o in enumerate(odd) if o], [i for i, o in enumerate(odd) if not o]
         for some, take in [(alone, self._alone), *((rest[a : a + 20_000], self._together) for a in range(0, len(rest), 20_000))]:

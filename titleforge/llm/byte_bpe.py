@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import Scratch, binary, held, steps, table, utf8
+from titleforge.llm.common import Scratch, binary, held, steps, table, tidy, utf8
 
 BLOCK_BYTES = 5 << 20
 #: Buckets of words, at most, so that a block's words travel in few rows.
@@ -167,7 +167,7 @@ def _blocks(docs: DataFrame, key: str, text: str, pattern: str, buckets: int) ->
                 del part, placed
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), schema)
 
 
 def _encoded(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -192,7 +192,7 @@ def _encoded(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 out.append(packed([_numbers(np.fromiter((len(g) // 4 for g in got), np.int64, len(got))), _numbers(np.frombuffer(b"".join(got), "<u4"))]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], batch.schema.names)
 
-    return words.mapInArrow(run, words.schema)
+    return words.mapInArrow(tidy(run), words.schema)
 
 
 def encode(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -229,7 +229,7 @@ def encode(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "
                     yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi], whole.schema.field("keys").type.value_type), pa.ListArray.from_arrays(pa.array(to[ends[lo : hi + 1] - ends[lo]].astype(np.int32)), pa.array(ids))], [key, "ids"])
                     lo = hi
 
-    return both.select("keys", "n", "payload", "lists").mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return both.select("keys", "n", "payload", "lists").mapInArrow(tidy(run), f"{key} {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ids: str = "ids", into: str = "decoded", ranks_path: str | None = None) -> DataFrame:
@@ -252,7 +252,7 @@ def decode(encoded: DataFrame, ids: str = "ids", into: str = "decoded", ranks_pa
             where = ends[np.concatenate(([0], np.cumsum(lengths)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, binary(where, data).cast(pa.binary())], [*keep, into])
 
-    return encoded.select(*keep).mapInArrow(run, encoded.select(*keep).schema.add(into, "binary"))
+    return encoded.select(*keep).mapInArrow(tidy(run), encoded.select(*keep).schema.add(into, "binary"))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -5,15 +5,18 @@ Every helper that handles text works on Arrow buffers with numpy, so no Python o
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+pa.set_memory_pool(pa.system_memory_pool())  # freed buffers can go back to the system
+
 #: Bytes of text that one numpy step handles; a longer document is a step by itself.
 BLOCK_BYTES = 4 << 20
 
@@ -97,9 +100,32 @@ def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(ids, key, "left_anti").select(*docs.columns)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on after its task, beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU C library
+        pass
+
+
+def tidy(run: Callable, forget: Callable[[], None] | None = None) -> Callable:
+    """``run`` over Arrow batches; at the task's end the worker keeps neither caches nor freed memory."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            give_back()
+
+    return whole
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and ``n + 1`` offsets of a string or binary column; nulls are empty."""
-    pa.default_memory_pool().release_unused()  # what the batch before took goes back to the system
+    give_back()  # what the batch before took
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if pa.types.is_null(column.type) or len(column) == 0:

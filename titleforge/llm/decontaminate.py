@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import held, mixed, steps, table, utf8, without, words
+from titleforge.llm.common import held, mixed, steps, table, tidy, utf8, without, words
 
 ITEM_BLOCK = 20_000
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”‘’«»¿¡–—·•"
@@ -182,7 +182,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                         d, i, a, b, e = zip(*out, strict=True)
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([lo + x for x in d])), pa.array([ids[x] for x in i]), pa.array(a), pa.array(b), pa.array(e)], [key, item_key, "start_word", "end_word", "edits"])
 
-        return source.mapInArrow(run, schema)
+        return source.mapInArrow(tidy(run), schema)
 
     return reduce(DataFrame.unionByName, (part(b) for b in range(blocks)))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import BROADCAST_IDS, Scratch, hashes, held, mixed, steps, table, utf8, without, words
+from titleforge.llm.common import BROADCAST_IDS, Scratch, hashes, held, mixed, steps, table, tidy, utf8, without, words
 from titleforge.llm.components import components
 
 PERMUTATIONS, TREES, DEPTH, LEAST, NEIGHBOURS, SMALL, HUBS = 128, 32, 8, 5, 2, 24, 2
@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(n, pa.int64()), *wide, pa.array(keys, pa.binary()), pa.array(sketch, pa.binary())], names)
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, keys binary, sketch binary")
+    return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), f"id {kind}, n long, f1 long, f2 long, keys binary, sketch binary")
 
 
 def _region_pairs(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +142,7 @@ def neighbours(entries: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(close)], ["a", "b", "near"])
             tail = joined.slice(max(0, len(joined) - NEIGHBOURS))
 
-    return entries.mapInArrow(run, f"a {dict(entries.dtypes)['id']}, b {dict(entries.dtypes)['id']}, near long")
+    return entries.mapInArrow(tidy(run), f"a {dict(entries.dtypes)['id']}, b {dict(entries.dtypes)['id']}, near long")
 
 
 def sets_of(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -158,7 +158,7 @@ def sets_of(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0)[lo + a : lo + b], pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.array(flat[ends[a] : ends[b]]))], ["id", "s"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"id {kind}, s array<long>")
+    return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), f"id {kind}, s array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

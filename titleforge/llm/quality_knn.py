@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import held_out, mixed, steps, table, utf8, words
+from titleforge.llm.common import held_out, mixed, steps, table, tidy, utf8, words
 
 #: Hashed dimensions: shapes, shape pairs, words, and one for words that repeat the one before.
 SHAPES, PAIRS, WORDS = 512, 1536, 2048
@@ -51,6 +51,10 @@ def _word_hashes(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
+def _forget() -> None:
+    _known.clear()
+
+
 def features(data: np.ndarray, offsets: np.ndarray, chunk: int = 512) -> Iterator[tuple[int, int, np.ndarray]]:
     """Ranges of adjoining documents and their dense counts (documents x DIMS)."""
     distinct, codes, first = words(data, offsets, lower=False)
@@ -133,7 +137,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         if n:
             yield pa.RecordBatch.from_pydict({"dim": np.append(np.arange(DIMS), DIMS), "n": np.append(total, n)})
 
-    sums = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+    sums = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(tidy(count, _forget), "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     df, n = np.zeros(DIMS, np.int64), 0
     for r in sums:
         if r["dim"] == DIMS:
@@ -167,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", t
 
     kind = dict(docs.dtypes)[key]
     wanted = docs.sparkSession.createDataFrame([(x,) for x in chosen], f"k {kind}")
-    picked = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(wanted), "k").mapInArrow(sparse, f"k {kind}, dims binary, counts binary").collect()
+    picked = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(wanted), "k").mapInArrow(tidy(sparse, _forget), f"k {kind}, dims binary, counts binary").collect()
     picked = sorted({r["k"]: r for r in sorted(picked, key=lambda r: (r["k"], bytes(r["dims"]), bytes(r["counts"])), reverse=True)}.values(), key=lambda r: r["k"])
     counts = np.zeros((len(picked), DIMS), np.float32)
     for row, r in zip(counts, picked, strict=True):
@@ -191,7 +195,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
                     out[lo + a : lo + b] = model.vote(weighted(counts, model.idf))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*keep, into])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(tidy(run, _forget), schema)
 
 
 #: The score from which a document counts as good.

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import Scratch, held, mixed, steps, table, utf8
+from titleforge.llm.common import Scratch, held, mixed, steps, table, tidy, utf8
 
 LENGTH, GRAM = 100, 32
 BLOCK_BYTES = 2 << 20
@@ -193,7 +193,7 @@ def _packed_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield _rows([(count, -1, TEXT, zstandard.ZstdCompressor(level=6).compress(head + data[offsets[lo] : offsets[hi]].tobytes()))])
                 count += 1
 
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, _MESSAGE)
+    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), _MESSAGE)
 
 
 def _opened(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -224,7 +224,7 @@ def _ask_phrases(blocks: DataFrame, buckets: int) -> DataFrame:
                     for a in range(0, len(rows), 64):
                         yield _rows(rows[a : a + 64])
 
-    return blocks.mapInArrow(run, _MESSAGE)
+    return blocks.mapInArrow(tidy(run), _MESSAGE)
 
 
 def _answer(asked: DataFrame, buckets: int) -> DataFrame:
@@ -267,7 +267,7 @@ def _answer(asked: DataFrame, buckets: int) -> DataFrame:
             yield judged(kept)
 
     parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return asked.repartition(min(parts, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(run, _MESSAGE)
+    return asked.repartition(min(parts, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), _MESSAGE)
 
 
 def _with_answers(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
@@ -312,7 +312,7 @@ def _ask_windows(messages: DataFrame, buckets: int) -> DataFrame:
                 for a in range(0, len(rows), 64):
                     yield _rows(rows[a : a + 64])
 
-    return messages.mapInArrow(run, _MESSAGE)
+    return messages.mapInArrow(tidy(run), _MESSAGE)
 
 
 def _finished(messages: DataFrame, key: str, kind: str) -> DataFrame:
@@ -346,7 +346,7 @@ def _finished(messages: DataFrame, key: str, kind: str) -> DataFrame:
                 b = min(a + 256, len(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], mask=~known[a:b]), pa.array(np.diff(offsets[a : b + 1])), pa.array(np.diff(removed[a : b + 1])), pa.array(np.diff(spans[a : b + 1])), pa.array([left[x:y].tobytes() for x, y in zip(to[a:b], to[a + 1 : b + 1], strict=True)], pa.binary())], [key, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return messages.mapInArrow(run, f"{key} long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return messages.mapInArrow(tidy(run), f"{key} long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import Scratch, held, table
+from titleforge.llm.common import Scratch, held, table, tidy
 
 BROADCAST_ROWS, MOST_ATTEMPTS = 200_000, 50
 KEY = b"surrogates-v1"
@@ -235,7 +235,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataF
     at = keep.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, 512) for whole in batches for a in range(0, len(whole), 512)):
             column = batch.column(at)
             own = None if few else batch.column(len(keep))
             texts, n, kinds = column.to_pylist(), [0] * len(column), [""] * len(column)
@@ -247,7 +247,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataF
             columns = [pa.array(texts, pa.string()) if j == at else c for j, c in enumerate(batch.columns[: len(keep)])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(kinds, pa.string())], [*keep, "n_entities", "entity_kinds"])
 
-    return source.mapInArrow(run, docs.select(*keep).schema.add("n_entities", "long").add("entity_kinds", "string"))
+    return source.mapInArrow(tidy(run), docs.select(*keep).schema.add("n_entities", "long").add("entity_kinds", "string"))
 
 
 def _with_past(docs: DataFrame, text: str, past: DataFrame) -> DataFrame:

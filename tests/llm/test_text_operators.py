@@ -104,10 +104,10 @@ def test_near_duplicates(spark, odd, empty):
             if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and label[i] != label[j]:
                 a, b = sorted((label[i], label[j]))
                 label = {k: a if v == b else v for k, v in label.items()}
-    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
     assert {r.doc_id: r.component_id for r in got} == label
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(s) for i, s in sets.items()}
-    some = near_dup.near_duplicates(odd).collect()
+    some = near_dup.near_duplicates(odd, size=2).collect()
     assert len(some) == len(ODD) and all(r.component_id == r.doc_id for r in some if r.doc_id not in (None, 6))
     assert near_dup.mark(odd).count() == len(ODD)
     assert near_dup.near_duplicates(empty).count() == 0
@@ -123,7 +123,7 @@ def test_crowded_region(spark):
         for k in rng.sample(range(120), 6):
             b[k] = rng.choice(words)
         rows.append((i, " ".join(b)))
-    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
     assert {r.component_id for r in got} == {0}
 
 

@@ -45,7 +45,7 @@ def test_near_duplicate_stage_by_brute_force(spark):
     # one changed word of 24 parts the five-word sets of a pair, not their two-word sets
     base = [f"w{i}" for i in range(24)]
     planted = [(10**9 + i, " ".join(ws), "xx", "test", 0) for i, ws in enumerate((base, [*base[:12], "other", *base[13:]], base))]
-    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema)).localCheckpoint()
+    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema)).checkpoint()
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()}
     assert got == _kept([(r.doc_id, r.text) for r in docs.collect()])
 
@@ -102,7 +102,7 @@ def test_twins_in_a_family_below_the_bound(spark):
                 root[y] = x
     want = {i: find(i) for i in sets}
     assert 100 < len(set(want.values())) < 300
-    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
     assert {r.doc_id: r.component_id for r in got} == want
 
 
@@ -117,3 +117,45 @@ def test_one_surrogate_for_all_spellings_of_a_number(kind, spellings):
     new = [surrogates.surrogate(kind, t, x[0][3], 0) for t, x in zip(spellings, found, strict=True)]
     assert len(set(map(bare, new))) == 1 and bare(new[0]) != bare(spellings[0])
     assert [[c for c in t if not c.isalnum()] for t in new] == [[c for c in t if not c.isalnum()] for t in spellings]
+
+
+def exact_components(sets):
+    """Components of all pairs at 0.8, by inverted lists."""
+    of, common, root = {}, {}, {i: i for i in sets}
+    for i, s in sorted(sets.items()):
+        for g in s:
+            for j in of.setdefault(g, []):
+                common[j, i] = common.get((j, i), 0) + 1
+            of[g].append(i)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = [p for p, k in common.items() if 5 * k >= 4 * (len(sets[p[0]]) + len(sets[p[1]]) - k)]
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: find(i) for i in sets}, len(links)
+
+
+def test_pages_of_one_template(spark):
+    """Most pairs of a template's pages lie just below the bound; those above it must all be linked."""
+    rng = random.Random(3)
+    template, rows = [f"t{i}" for i in range(200)], []
+    for i in range(700):
+        text = list(template)
+        for k in rng.sample(range(200), rng.randrange(7, 9)):
+            text[k] = f"u{rng.randrange(3000)}"
+        rows.append((i, " ".join(text)))
+    want, links = exact_components({i: frozenset(zip(t.split(), t.split()[1:])) for i, t in rows})
+    assert links > 300 and 50 < len(set(want.values())) < 690
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, size=2).collect()} == want
+
+
+def test_common_shingles_by_matrices():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 6000)).astype(np.uint64)) for _ in range(9)]
+    assert near_dup._common(sets).tolist() == [[len(np.intersect1d(x, y)) if i != j else near_dup._common(sets)[i, i] for j, y in enumerate(sets)] for i, x in enumerate(sets)]

@@ -1,22 +1,29 @@
 """MinHash near-duplicates through an LSH forest.
 
 Texts with equal shingle sets form a class at once. One text of each class enters the forest: TREES sorted
-orders of its signature, each by DEPTH signature values. In each order a text is paired with the next
-NEIGHBOURS whose common prefix has at least LEAST values; in a crowded region neighbours share more, so the
-depth adapts to the region. In regions of up to SMALL texts all pairs are candidates; in larger ones each text
-is also paired with the region's hubs, the HUBS texts closest to the majority of its sketches, as copies of
-one original lie closer to it than to each other. What these leave out is made up for at the end: all pairs of
-larger regions that are still in different components are candidates too, without any cap. Pairs pass a 128-bit sketch of the signature and are then
-confirmed on full shingle sets. Links go to components in rounds: each text's closest pairs first, then the closest pairs between
-components, then all pairs that still cross components; so large groups are linked without all their pairs.
-
-A pair of similarity 0.8 shares LEAST values in an order with probability 0.33, so all 32 orders miss it with
-probability 3e-6. Orders are cut into ranges by (order, key, id), so a hot region spreads over many tasks;
-neighbours parted by a cut in one order meet in the others.
-
-Defined results: a null, empty or wordless text has 0 shingles and stays alone; a text of one word has that
-word as its only shingle. A row without id is kept, in no component. Rows that repeat an id are one node.
-An empty table gives an empty result; other columns pass through ``mark``.
+orders of its signature, each by DEPTH signature values. Texts that share the first LEAST values of an order form a
+region. A pair of similarity 0.8 shares them in one order with probability 0.33, so all 32 orders part it with
+probability 3e-6.
+
+* Small regions, of up to SMALL texts: all pairs are candidates.
+* Crowded regions: the depth adapts. In sorted order each text first meets the next NEIGHBOURS, with whom it has the
+  longest common prefix, and the region's hubs, the HUBS texts closest to the majority of its sketches (copies of one
+  original lie closer to it than to each other). That links a group of copies without all its pairs. Then all
+  pairs of the region whose texts still lie in different components are candidates too, without any cap: members are
+  cut into blocks, and tasks compare pairs of blocks, but never two blocks of the region's largest component.
+
+Candidates pass a 128-bit sketch of the signature and are then confirmed on full shingle sets. They are confirmed by
+(region, block, block), so a set travels once to each such group, however many pairs it has there; in groups with
+many pairs the common shingles of all pairs come from one product of incidence matrices. Links go to components in
+rounds: each text's closest pairs first, then the closest pairs between components, then all that still cross.
+
+Orders are cut into ranges and regions into blocks, so a hot region spreads over many tasks. A region is whole
+wherever its pairs are made, whatever the Arrow batches.
+
+Defined results: a null, empty or wordless text has 0 shingles and stays alone; a text with fewer words than a
+shingle has all its words as its only shingle. A row without id is kept, in no component. Rows that repeat an id are
+one node. Very long texts are read whole, as blocks by themselves. Only ``key`` and ``text`` are read, so other
+columns may have any name; ``mark`` passes them through. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +41,8 @@ from titleforge.llm.components import components
 PERMUTATIONS, TREES, DEPTH, LEAST, NEIGHBOURS, SMALL, HUBS = 128, 32, 8, 5, 2, 24, 2
 #: Equal bits of two 128-bit sketches, at least: 115 are expected at similarity 0.8, 96 lie 5 deviations below.
 EQUAL_BITS = 96
+#: Texts and shingles of a block of a crowded region, about: what a task holds of each side at once.
+BLOCK_TEXTS, BLOCK_SHINGLES = 384, 600_000
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -97,52 +106,96 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), f"id {kind}, n long, f1 long, f2 long, keys binary, sketch binary")
 
 
-def _region_pairs(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a crowded region, and whether one of each is a hub."""
-    if len(bits) <= SMALL:
-        i, j = np.triu_indices(len(bits), 1)
-        return i, j, np.zeros(len(i), bool)
-    flat = np.unpackbits(bits.view(np.uint8), axis=1)
-    majority = (2 * flat.sum(0, dtype=np.int64) > len(flat)).astype(np.uint8)
-    hubs = np.argsort((flat != majority).sum(1), kind="stable")[:HUBS]
-    i, j = np.tile(np.arange(len(bits)), HUBS), np.repeat(hubs, len(bits))
-    return i[i != j], j[i != j], np.ones(int((i != j).sum()), bool)
+def _passed(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs pass the sketches and the sizes of their sets; and their equal bits."""
+    same = 128 - np.bitwise_count(bits[i] ^ bits[j]).sum(1).astype(np.int64)
+    return (ids[i] != ids[j]) & (same >= EQUAL_BITS) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])), same
 
 
-def neighbours(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b, near) of candidates in frames sorted by (tree, key, id) within each partition."""
+def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
+
+
+def _bits(table: pa.Table) -> np.ndarray:
+    return utf8(table.column("sketch"))[0].view(np.uint64).reshape(-1, 2)
+
+
+def _candidates(a: np.ndarray, b: np.ndarray, near: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(near), pa.array(part)], ["a", "b", "near", "part"])
+
+
+def _schema(entries: DataFrame) -> str:
+    kind = dict(entries.dtypes)["id"]
+    return f"a {kind}, b {kind}, near long, part long"
+
+
+def _whole(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Tables that never part rows with equal values of ``column``, by which the rows come sorted."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        value = batch.column(column).to_numpy()
+        last = int(np.flatnonzero(value[1:] != value[:-1])[-1]) + 1 if (value[1:] != value[:-1]).any() else 0
+        if kept and (last or kept[-1].column(column)[-1].as_py() != value[0]):
+            head = batch.slice(0, last) if kept[-1].column(column)[-1].as_py() == value[0] else batch.slice(0, 0)
+            yield pa.Table.from_batches([*kept, head]).combine_chunks()
+            kept, batch = [], batch.slice(len(head))
+            last -= len(head)
+        if last > 0:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+        kept.append(batch.slice(max(last, 0)))
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks()
+
+
+def _all_pairs(small: DataFrame, percent: int) -> DataFrame:
+    """(a, b, near, part) of all pairs of small regions, in frames sorted by region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole(batches, "region"):
+            (region, ids, n), bits = _columns(rows, "region", "id", "n"), _bits(rows)
+            for j in range(1, len(region)):
+                at = np.flatnonzero(region[:-j] == region[j:])
+                if not len(at):
+                    break
+                ok, same = _passed(ids, n, bits, at, at + j, percent)
+                yield _candidates(ids[at[ok]], ids[at[ok] + j], same[ok], region[at[ok]])
+
+    return small.mapInArrow(tidy(run), _schema(small))
+
+
+def _neighbours(crowded: DataFrame, percent: int) -> DataFrame:
+    """(a, b, near, part) of neighbours, and of the hubs of each stretch of a region that a batch holds.
+
+    Frames come sorted by (tree, key, id). Pairs with hubs count as nearer than any other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: pa.Table | None = None
         for batch in batches:
             now = pa.Table.from_batches([batch])
-            joined = now if tail is None else pa.concat_tables([tail, now])
-            joined = joined.combine_chunks()
-            tree, ids, n = (joined.column(c).to_numpy() for c in ("tree", "id", "n"))
-            key = utf8(joined.column("key"))[0].view(">u2").reshape(-1, DEPTH)
-            bits = utf8(joined.column("sketch"))[0].view(np.uint64).reshape(-1, 2)
+            rows = (now if tail is None else pa.concat_tables([tail, now])).combine_chunks()
+            (region, ids, n), bits = _columns(rows, "region", "id", "n"), _bits(rows)
             found = []
-            for j in range(1, NEIGHBOURS + 1):
-                if len(ids) > j:
-                    at = np.flatnonzero((key[:-j, :LEAST] == key[j:, :LEAST]).all(1) & (tree[:-j] == tree[j:]))
-                    found.append((at, at + j, np.zeros(len(at), bool)))
-            near = np.zeros(len(ids) + 1, bool)
-            near[1:-1] = (key[:-1, :LEAST] == key[1:, :LEAST]).all(1) & (tree[:-1] == tree[1:])
-            starts = np.flatnonzero(~near[:-1])
-            ends = np.append(starts[1:], len(ids))
-            for lo, hi in zip(starts, ends, strict=True):
+            for j in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
+                at = np.flatnonzero(region[:-j] == region[j:])
+                found.append((at, at + j, np.zeros(len(at), np.int64)))
+            starts = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
+            for lo, hi in zip(starts, np.append(starts[1:], len(ids)), strict=True):
                 if hi - lo > NEIGHBOURS + 1:
-                    i, j, hub = _region_pairs(bits[lo:hi])
-                    found.append((i + lo, j + lo, hub))
+                    flat = np.unpackbits(bits[lo:hi].view(np.uint8), axis=1)
+                    majority = (2 * flat.sum(0, dtype=np.int64) > len(flat)).astype(np.uint8)
+                    hubs = np.argsort((flat != majority).sum(1), kind="stable")[:HUBS]
+                    i, j = np.tile(np.arange(lo, hi), len(hubs)), np.repeat(hubs + lo, hi - lo)
+                    found.append((i[i != j], j[i != j], np.full(int((i != j).sum()), 128)))
             if found:
                 i, j, hub = (np.concatenate(x) for x in zip(*found, strict=True))
-                same = 128 - np.bitwise_count(bits[i] ^ bits[j]).sum(1).astype(np.int64)
-                ok = (ids[i] != ids[j]) & (same >= EQUAL_BITS) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-                i, j, close = i[ok], j[ok], same[ok] + 128 * hub[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(close)], ["a", "b", "near"])
-            tail = joined.slice(max(0, len(joined) - NEIGHBOURS))
+                ok, same = _passed(ids, n, bits, i, j, percent)
+                yield _candidates(ids[i[ok]], ids[j[ok]], same[ok] + hub[ok], region[i[ok]])
+            tail = rows.slice(max(0, len(rows) - NEIGHBOURS))
 
-    return entries.mapInArrow(tidy(run), f"a {dict(entries.dtypes)['id']}, b {dict(entries.dtypes)['id']}, near long")
+    return crowded.mapInArrow(tidy(run), _schema(crowded))
 
 
 def sets_of(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -161,27 +214,82 @@ def sets_of(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), f"id {kind}, s array<long>")
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairs' intersections, by products of incidence matrices over the shingles that two sets share."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    again = flat[1:] == flat[:-1]
+    shared = np.append(again, False) | np.append(False, again)
+    flat, owner = flat[shared], owner[shared]
+    column = np.cumsum(np.append(True, flat[1:] != flat[:-1])) - 1 if len(flat) else flat
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(flat) else 0, 4096):
+        x, y = np.searchsorted(column, [lo, lo + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[x:y], column[x:y] - lo] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have at least ``percent`` of their union in common."""
-    left = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    """The pairs (a, b) whose full sets have at least ``percent`` of their union in common, by ``part``."""
+    kind = dict(pairs.dtypes)["a"]
+    need = pairs.select("part", F.explode(F.array("a", "b")).alias("id")).distinct()
+    shipped = need.join(sets, "id").select("part", F.lit(0).alias("what"), F.col("id").alias("a"), F.lit(None).cast(kind).alias("b"), "s")
+    asked = pairs.select("part", F.lit(1).alias("what"), "a", "b", F.lit(None).cast("array<long>").alias("s"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = shipped.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "what")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held_sets, common = None, {}, None
+        for batch in batches:
+            part, what, a = (batch.column(c).to_numpy() for c in ("part", "what", "a"))
+            lists = batch.column("s")
+            flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            cuts = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (what[1:] != what[:-1]))) if len(part) else part
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
+                if part[lo] != now:
+                    now, held_sets, common = part[lo], {}, None
+                if what[lo] == 0:
+                    held_sets |= {a[i]: flat[ends[i] : ends[i + 1]].copy() for i in range(lo, hi)}
+                    continue
+                x, y = a[lo:hi], batch.column("b").slice(lo, hi - lo).to_numpy()
+                known = np.sort(np.fromiter(held_sets, x.dtype, len(held_sets)))
+                own = [held_sets[i] for i in known]
+                i, j = np.searchsorted(known, x), np.searchsorted(known, y)
+                size = np.fromiter(map(len, own), np.int64, len(own))
+                if common is None and hi - lo > 4 * len(own):
+                    common = _common(own)
+                if common is not None:
+                    k = common[i, j]
+                else:
+                    k = np.array([np.intersect1d(own[p], own[q], assume_unique=True).size for p, q in zip(i, j, strict=True)], np.int64)
+                ok = 100 * k >= percent * (size[i] + size[j] - k)
+                yield pa.RecordBatch.from_arrays([pa.array(x[ok]), pa.array(y[ok])], ["a", "b"])
+
+    return both.mapInArrow(tidy(run), f"a {kind}, b {kind}").distinct()
+
+
+def _labelled(rest: DataFrame, label: DataFrame, *ends: str) -> DataFrame:
+    """Adds each end's component; a node without links is its own."""
+    for end in ends:
+        rest = rest.drop(f"c{end}").join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    return rest
 
 
 def _linked(label: DataFrame, rest: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Components after the pairs (a, b, near) are confirmed too: the closest between components, then all that still cross."""
+    """Components after the pairs (a, b, near, part) are confirmed too: the closest between components, then all that still cross."""
     for last in (False, True):
         label = scratch.save(label)
-        for end in ("a", "b"):
-            rest = rest.drop(f"c{end}").join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-        rest = scratch.save(rest.where("ca <> cb").select("a", "b", "near", "ca", "cb"))
+        rest = scratch.save(_labelled(rest, label, "a", "b").where("ca <> cb").select("a", "b", "near", "part", "ca", "cb"))
         if rest.isEmpty():
             break
         chosen = rest
         if not last:
             sides = (F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"))
-            chosen = scratch.save(rest.groupBy(*sides).agg(F.max_by(F.struct("a", "b"), F.struct("near", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b"))
+            chosen = scratch.save(rest.groupBy(*sides).agg(F.max_by(F.struct("a", "b", "part"), F.struct("near", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b", "p.part"))
         more = scratch.save(confirmed(chosen, sets, percent))
         old = label.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
         label = components(old.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))), scratch)
@@ -189,63 +297,89 @@ def _linked(label: DataFrame, rest: DataFrame, sets: DataFrame, percent: int, sc
     return label
 
 
-def _crossing(entries: DataFrame, label: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
-    """(a, b, near) of all pairs of crowded regions that lie in different components and pass the sketch."""
-    word = lambda k: F.conv(F.hex(F.substring("sketch", 4 * k + 1, 4)), 16, 10).cast("long")
-    placed = entries.withColumn("region", F.xxhash64("tree", F.substring("key", 1, 2 * LEAST)))
-    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-    crowded = scratch.save(placed.groupBy("region").count().where(F.col("count") > SMALL).select("region"))
-    if crowded.isEmpty():
-        return None
-    within = placed.join(few(crowded), "region", "left_semi").select("region", "id", "n", *(word(k).alias(f"w{k}") for k in range(4)))
-    within = scratch.save(within.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"))
-    mixed_up = scratch.save(within.groupBy("region").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("region"))
-    if mixed_up.isEmpty():
+def _crossing(crowded: DataFrame, label: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """(a, b, near, part) of all pairs of crowded regions that lie in different components and pass the sketch."""
+    within = scratch.save(_labelled(crowded.select("region", "id", "n", "sketch"), label, "id").withColumnRenamed("cid", "c"))
+    sizes = within.groupBy("region", "c").agg(F.count("*").alias("k"), F.sum("n").alias("m"))
+    most = F.max_by("c", F.struct("k", "c")).alias("main")
+    mixed_up = sizes.groupBy("region").agg(most, F.max("k").alias("k"), F.max_by("m", F.struct("k", "c")).alias("m"), F.sum("k").alias("all_k"), F.sum("m").alias("all_m")).where("all_k > k")
+    blocks = lambda k, m: F.ceil(F.greatest(k / BLOCK_TEXTS, m / BLOCK_SHINGLES)).cast("int")
+    mixed_up = scratch.save(mixed_up.select("region", "main", blocks(F.col("k"), F.col("m")).alias("p"), blocks(F.col("all_k") - F.col("k"), F.col("all_m") - F.col("m")).alias("q")))
+    count = mixed_up.count()
+    if not count:
         return None
-    within = within.join(few(mixed_up), "region", "left_semi")
-    x, y = (within.select("region", *(F.col(c).alias(f"{side}_{c}") for c in within.columns if c != "region")) for side in "xy")
-    other = sum((F.bit_count(F.col(f"x_w{k}").bitwiseXOR(F.col(f"y_w{k}"))) for k in range(4)), F.lit(0))
-    near = (x.join(y, "region").where((F.col("x_id") < F.col("y_id")) & (F.col("x_c") != F.col("y_c")) & (128 - other >= EQUAL_BITS))
-            .where(100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")))
-    return near.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), (128 - other).cast("long").alias("near")).groupBy("a", "b").agg(F.max("near").alias("near"))
+    # blocks 0 to p - 1 hold the largest component, p to p + q - 1 the others; two of the first are never compared
+    spot = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    placed = within.join(F.broadcast(mixed_up) if count <= BROADCAST_IDS else mixed_up, "region").withColumn("block", F.when(F.col("c") == F.col("main"), spot(F.col("p"))).otherwise(F.col("p") + spot(F.col("q"))))
+    others = F.when(F.col("c") == F.col("main"), F.sequence(F.col("p"), F.col("p") + F.col("q") - 1)).otherwise(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1))
+    dealt = placed.withColumn("with", F.explode(others)).select(F.xxhash64("region", F.least("block", "with"), F.greatest("block", "with")).alias("part"), "block", "with", "id", "n", "sketch", "c")
+    parts = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole(batches, "part"):
+            (part, block, other, ids, n, c), bits = _columns(rows, "part", "block", "with", "id", "n", "c"), _bits(rows)
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            for lo, hi in zip(starts, np.append(starts[1:], len(part)), strict=True):
+                left = np.arange(lo, hi)[block[lo:hi] <= other[lo:hi]]
+                right = np.arange(lo, hi)[block[lo:hi] >= other[lo:hi]]
+                for x in range(0, len(left), 64):
+                    i, j = np.repeat(left[x : x + 64], len(right)), np.tile(right, len(left[x : x + 64]))
+                    # inside one block each pair comes twice
+                    keep = (c[i] != c[j]) & ((block[i] != block[j]) | (ids[i] < ids[j]))
+                    i, j = i[keep], j[keep]
+                    ok, same = _passed(ids, n, bits, i, j, percent)
+                    if ok.any():
+                        yield _candidates(ids[i[ok]], ids[j[ok]], same[ok], part[i[ok]])
+
+    found = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(run), _schema(crowded))
+    return found.groupBy("a", "b").agg(F.max("near").alias("near"), F.min("part").alias("part"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) of each row; computed, and held in the checkpoint folder."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_IDS else df
+    source = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t"))
     with Scratch(spark) as scratch:
-        sig = scratch.save(signatures(docs, key, text, size))
+        sig = scratch.save(signatures(source, "id", "t", size))
         classes = sig.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
         # one row of each class carries the forest's entries
         reps = sig.where("n > 0").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
         cut = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("keys", t * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("key")))
-        entries = scratch.save(reps.select("id", "n", "keys", "sketch")).select("id", "n", "sketch", F.explode(cut).alias("e")).select(F.col("e.tree").alias("tree"), F.col("e.key").alias("key"), "id", "n", "sketch")
-        ordered = entries.repartitionByRange(4 * parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-        pairs = scratch.save(neighbours(ordered, percent).groupBy("a", "b").agg(F.max("near").alias("near")))
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        ids = scratch.save(ids)
-        named = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-        # rows that repeat an id: the smallest text's set stands for it, as the smallest row does above
-        sets = scratch.save(sets_of(named, "id", "t", size)).dropDuplicates(["id"])
+        entries = scratch.save(reps.select("id", "n", "keys", "sketch")).select("id", "n", "sketch", F.explode(cut).alias("e"))
+        entries = entries.select(F.xxhash64("e.tree", F.substring("e.key", 1, 2 * LEAST)).alias("region"), F.col("e.tree").alias("tree"), F.col("e.key").alias("key"), "id", "n", "sketch")
+        hot = scratch.save(entries.groupBy("region").count().where(F.col("count") > SMALL).select("region"))
+        many = hot.count()
+        small = entries.select("region", "id", "n", "sketch").join(few(hot, many), "region", "left_anti")
+        pairs = _all_pairs(small.repartition(4 * parts, "region").sortWithinPartitions("region"), percent)
+        crowded = None
+        if many:
+            crowded = scratch.save(entries.join(few(hot, many), "region", "left_semi"))
+            pairs = pairs.unionByName(_neighbours(crowded.repartitionByRange(4 * parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id"), percent))
+        pairs = scratch.save(pairs.groupBy("a", "b").agg(F.max("near").alias("near"), F.min("part").alias("part")))
+
+        def sets(of: DataFrame) -> DataFrame:
+            """The sets of the pairs' texts. Rows that repeat an id: one of them stands for it, as one does above."""
+            ids = scratch.save(of.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+            return scratch.save(sets_of(source.join(few(ids, ids.count()), "id", "left_semi"), "id", "t", size)).dropDuplicates(["id"])
 
         # first each text's closest two pairs
-        ends = pairs.select("a", "b", "near", F.explode(F.array("a", "b")).alias("end"))
-        best = F.max_by(F.struct("a", "b"), F.struct("near", -F.col("a"), -F.col("b")))
-        low = F.max_by(F.struct("a", "b"), F.struct(F.col("a") * -1, "near"))
-        chosen = ends.groupBy("end").agg(F.array(best, low).alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b").distinct()
-        chosen = scratch.save(chosen)
-        links = scratch.save(confirmed(chosen, sets, percent))
+        ends = pairs.select("a", "b", "near", "part", F.explode(F.array("a", "b")).alias("end"))
+        pair = F.struct("a", "b", "part")
+        best = F.max_by(pair, F.struct("near", -F.col("a"), -F.col("b")))
+        low = F.max_by(pair, F.struct(F.col("a") * -1, "near"))
+        chosen = scratch.save(ends.groupBy("end").agg(F.array(best, low).alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b", "p.part").distinct())
+        own = sets(pairs)
+        links = scratch.save(confirmed(chosen, own, percent))
         label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-        label = _linked(label, pairs.join(chosen, ["a", "b"], "left_anti"), sets, percent, scratch)
-        # pairs that the caps of crowded regions left out
-        label = scratch.save(label)
-        left = _crossing(entries, label, percent, scratch)
+        label = scratch.save(_linked(label, pairs.join(chosen, ["a", "b"], "left_anti"), own, percent, scratch))
+        # pairs of crowded regions that are neither neighbours nor of a hub
+        left = _crossing(crowded, label, percent, scratch) if many else None
         if left is not None:
             left = scratch.save(left.join(pairs, ["a", "b"], "left_anti"))
-            ids = scratch.save(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct())
-            named = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-            label = _linked(label, left, scratch.save(sets_of(named, "id", "t", size)).dropDuplicates(["id"]), percent, scratch)
+            if not left.isEmpty():
+                label = _linked(label, left, sets(left), percent, scratch)
         out = (
             sig.select("id", "n", "f1", "f2")
             .join(classes, ["n", "f1", "f2"], "left")
@@ -255,14 +389,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         return held(out)
 
 
-def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
+def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay: one of each component (its smallest id), with all their columns."""
     found = near_duplicates(docs, key, text, size, percent)
     return without(docs, found.where(F.col(key) != F.col("component_id")).select(key).distinct(), key)
 
 
 def op10_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

@@ -157,5 +157,5 @@ def test_pages_of_one_template(spark):
 
 def test_common_shingles_by_matrices():
     rng = np.random.default_rng(0)
-    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 6000)).astype(np.uint64)) for _ in range(9)]
-    assert near_dup._common(sets).tolist() == [[len(np.intersect1d(x, y)) if i != j else near_dup._common(sets)[i, i] for j, y in enumerate(sets)] for i, x in enumerate(sets)]
+    left, right = ([np.unique(rng.integers(0, 9000, rng.integers(1, 6000)).astype(np.uint64)) for _ in range(n)] for n in (9, 5))
+    assert near_dup._common(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]

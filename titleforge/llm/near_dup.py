@@ -8,14 +8,16 @@ probability 3e-6.
 * Small regions, of up to SMALL texts: all pairs are candidates.
 * Crowded regions: the depth adapts. In sorted order each text first meets the next NEIGHBOURS, with whom it has the
   longest common prefix, and the region's hubs, the HUBS texts closest to the majority of its sketches (copies of one
-  original lie closer to it than to each other). That links a group of copies without all its pairs. Then all
-  pairs of the region whose texts still lie in different components are candidates too, without any cap: members are
-  cut into blocks, and tasks compare pairs of blocks, but never two blocks of the region's largest component.
+  original lie closer to it than to each other). That links a group of copies without all its pairs. Then the pairs
+  of the region whose texts still lie in different components follow, without any cap. Components that meet in
+  a crowded region form a family; its members are cut into blocks, and each task compares a pair of blocks, but
+  never two blocks of the family's largest component. A task confirms its pairs on the sets themselves and returns
+  no pairs, only links that join components: at most one for each component it holds.
 
 Candidates pass a 128-bit sketch of the signature and are then confirmed on full shingle sets. They are confirmed by
-(region, block, block), so a set travels once to each such group, however many pairs it has there; in groups with
-many pairs the common shingles of all pairs come from one product of incidence matrices. Links go to components in
-rounds: each text's closest pairs first, then the closest pairs between components, then all that still cross.
+region, so a set travels once to each region that needs it, however many pairs it has there; where many pairs are
+asked, common shingles come from a product of incidence matrices. Links go to components in rounds: each text's
+closest pairs first, then the closest pairs between components, then all that still cross.
 
 Orders are cut into ranges and regions into blocks, so a hot region spreads over many tasks. A region is whole
 wherever its pairs are made, whatever the Arrow batches.
@@ -41,8 +43,8 @@ from titleforge.llm.components import components
 PERMUTATIONS, TREES, DEPTH, LEAST, NEIGHBOURS, SMALL, HUBS = 128, 32, 8, 5, 2, 24, 2
 #: Equal bits of two 128-bit sketches, at least: 115 are expected at similarity 0.8, 96 lie 5 deviations below.
 EQUAL_BITS = 96
-#: Texts and shingles of a block of a crowded region, about: what a task holds of each side at once.
-BLOCK_TEXTS, BLOCK_SHINGLES = 384, 600_000
+#: Texts and shingles of a block of a family, about: what a task holds of each side at once.
+BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 4_000_000
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -214,25 +216,36 @@ def sets_of(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), f"id {kind}, s array<long>")
 
 
-def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairs' intersections, by products of incidence matrices over the shingles that two sets share."""
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    again = flat[1:] == flat[:-1]
-    shared = np.append(again, False) | np.append(False, again)
-    flat, owner = flat[shared], owner[shared]
-    column = np.cumsum(np.append(True, flat[1:] != flat[:-1])) - 1 if len(flat) else flat
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, int(column[-1]) + 1 if len(flat) else 0, 4096):
-        x, y = np.searchsorted(column, [lo, lo + 4096])
-        part = np.zeros((len(sets), 4096), np.float32)
-        part[owner[x:y], column[x:y] - lo] = 1
-        out += part @ part.T
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set, by products of incidence matrices."""
+    flat, owner = [], []
+    for sets in (left, right):
+        x, y = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(x, kind="stable")
+        flat.append(x[order])
+        owner.append(y[order])
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(both), 4096):
+        some, part = both[lo : lo + 4096], []
+        for x, y, n in zip(flat, owner, out.shape, strict=True):
+            a, b = np.searchsorted(x, some[0]), np.searchsorted(x, some[-1], "right")
+            column = np.minimum(np.searchsorted(some, x[a:b]), len(some) - 1)
+            ok = some[column] == x[a:b]
+            part.append(np.zeros((n, len(some)), np.float32))
+            part[-1][y[a:b][ok], column[ok]] = 1
+        out += part[0] @ part[1].T
     return out.astype(np.int64)
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``left[i]`` and ``right[j]``, each pair by itself or all by products."""
+    (rows, x), (columns, y) = (np.unique(k, return_inverse=True) for k in (i, j))
+    if 12 * len(i) > len(rows) * len(columns) and len(i) > 16:
+        return _common([left[k] for k in rows], [right[k] for k in columns])[x, y]
+    return np.array([np.intersect1d(left[p], right[q], assume_unique=True).size for p, q in zip(i, j, strict=True)], np.int64)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have at least ``percent`` of their union in common, by ``part``."""
     kind = dict(pairs.dtypes)["a"]
@@ -243,7 +256,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = shipped.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "what")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held_sets, common = None, {}, None
+        now, own = None, {}
         for batch in batches:
             part, what, a = (batch.column(c).to_numpy() for c in ("part", "what", "a"))
             lists = batch.column("s")
@@ -251,21 +264,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             cuts = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (what[1:] != what[:-1]))) if len(part) else part
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
                 if part[lo] != now:
-                    now, held_sets, common = part[lo], {}, None
+                    now, own = part[lo], {}
                 if what[lo] == 0:
-                    held_sets |= {a[i]: flat[ends[i] : ends[i + 1]].copy() for i in range(lo, hi)}
+                    own |= {a[i]: flat[ends[i] : ends[i + 1]].copy() for i in range(lo, hi)}
                     continue
                 x, y = a[lo:hi], batch.column("b").slice(lo, hi - lo).to_numpy()
-                known = np.sort(np.fromiter(held_sets, x.dtype, len(held_sets)))
-                own = [held_sets[i] for i in known]
+                known = np.sort(np.fromiter(own, x.dtype, len(own)))
+                sets = [own[i] for i in known]
                 i, j = np.searchsorted(known, x), np.searchsorted(known, y)
-                size = np.fromiter(map(len, own), np.int64, len(own))
-                if common is None and hi - lo > 4 * len(own):
-                    common = _common(own)
-                if common is not None:
-                    k = common[i, j]
-                else:
-                    k = np.array([np.intersect1d(own[p], own[q], assume_unique=True).size for p, q in zip(i, j, strict=True)], np.int64)
+                size = np.fromiter(map(len, sets), np.int64, len(sets))
+                k = _shared(sets, sets, i, j)
                 ok = 100 * k >= percent * (size[i] + size[j] - k)
                 yield pa.RecordBatch.from_arrays([pa.array(x[ok]), pa.array(y[ok])], ["a", "b"])
 
@@ -297,42 +305,79 @@ def _linked(label: DataFrame, rest: DataFrame, sets: DataFrame, percent: int, sc
     return label
 
 
-def _crossing(crowded: DataFrame, label: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
-    """(a, b, near, part) of all pairs of crowded regions that lie in different components and pass the sketch."""
+def _spanning(u: np.ndarray, v: np.ndarray) -> list[int]:
+    """Which of the links (u, v) join what those before left apart."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            kept.append(k)
+    return kept
+
+
+def _families(crowded: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(id, n, sketch, c, family): texts of crowded regions that hold more than one component; null without any."""
     within = scratch.save(_labelled(crowded.select("region", "id", "n", "sketch"), label, "id").withColumnRenamed("cid", "c"))
-    sizes = within.groupBy("region", "c").agg(F.count("*").alias("k"), F.sum("n").alias("m"))
-    most = F.max_by("c", F.struct("k", "c")).alias("main")
-    mixed_up = sizes.groupBy("region").agg(most, F.max("k").alias("k"), F.max_by("m", F.struct("k", "c")).alias("m"), F.sum("k").alias("all_k"), F.sum("m").alias("all_m")).where("all_k > k")
-    blocks = lambda k, m: F.ceil(F.greatest(k / BLOCK_TEXTS, m / BLOCK_SHINGLES)).cast("int")
-    mixed_up = scratch.save(mixed_up.select("region", "main", blocks(F.col("k"), F.col("m")).alias("p"), blocks(F.col("all_k") - F.col("k"), F.col("all_m") - F.col("m")).alias("q")))
+    mixed_up = scratch.save(within.groupBy("region").agg(F.min("c").alias("v"), F.max("c").alias("w")).where("v <> w").select("region", "v"))
     count = mixed_up.count()
     if not count:
         return None
+    within = scratch.save(within.join(F.broadcast(mixed_up) if count <= BROADCAST_IDS else mixed_up, "region"))
+    family = components(within.select(F.col("c").alias("u"), "v").distinct(), scratch).withColumnsRenamed({"node": "c", "component": "family"})
+    return scratch.save(within.groupBy("id").agg(*(F.min(x).alias(x) for x in ("n", "sketch", "c"))).join(family, "c"))
+
+
+def _crossing(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join the components of each family wherever two of its texts are similar enough."""
+    kind = dict(members.dtypes)["id"]
+    sizes = members.groupBy("family", "c").agg(F.count("*").alias("k"), F.sum("n").alias("m"))
+    sizes = sizes.groupBy("family").agg(F.max_by(F.struct("c", "k", "m"), F.struct("k", "c")).alias("main"), F.sum("k").alias("k"), F.sum("m").alias("m"))
+    blocks = lambda k, m: F.ceil(F.greatest(k / BLOCK_TEXTS, m / BLOCK_SHINGLES)).cast("int")
+    sizes = scratch.save(sizes.select("family", F.col("main.c").alias("main"), blocks(F.col("main.k"), F.col("main.m")).alias("p"), blocks(F.col("k") - F.col("main.k"), F.col("m") - F.col("main.m")).alias("q")))
     # blocks 0 to p - 1 hold the largest component, p to p + q - 1 the others; two of the first are never compared
     spot = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    placed = within.join(F.broadcast(mixed_up) if count <= BROADCAST_IDS else mixed_up, "region").withColumn("block", F.when(F.col("c") == F.col("main"), spot(F.col("p"))).otherwise(F.col("p") + spot(F.col("q"))))
-    others = F.when(F.col("c") == F.col("main"), F.sequence(F.col("p"), F.col("p") + F.col("q") - 1)).otherwise(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1))
-    dealt = placed.withColumn("with", F.explode(others)).select(F.xxhash64("region", F.least("block", "with"), F.greatest("block", "with")).alias("part"), "block", "with", "id", "n", "sketch", "c")
-    parts = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = members.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes, "family")
+    placed = placed.withColumn("block", F.when(F.col("c") == F.col("main"), spot(F.col("p"))).otherwise(F.col("p") + spot(F.col("q"))))
+    others = F.sequence(F.when(F.col("c") == F.col("main"), F.col("p")).otherwise(0), F.col("p") + F.col("q") - 1)
+    dealt = placed.join(sets, "id").withColumn("with", F.explode(others)).select(F.xxhash64("family", F.least("block", "with"), F.greatest("block", "with")).alias("part"), "block", "with", "id", "n", "sketch", "c", "s")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole(batches, "part"):
             (part, block, other, ids, n, c), bits = _columns(rows, "part", "block", "with", "id", "n", "c"), _bits(rows)
+            lists = rows.column("s").combine_chunks()
+            flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
             starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             for lo, hi in zip(starts, np.append(starts[1:], len(part)), strict=True):
                 left = np.arange(lo, hi)[block[lo:hi] <= other[lo:hi]]
                 right = np.arange(lo, hi)[block[lo:hi] >= other[lo:hi]]
-                for x in range(0, len(left), 64):
-                    i, j = np.repeat(left[x : x + 64], len(right)), np.tile(right, len(left[x : x + 64]))
+                own, links = [[flat[ends[k] : ends[k + 1]] for k in side] for side in (left, right)], []
+                for x in range(0, len(left), 256):
+                    i, j = np.repeat(np.arange(x, min(x + 256, len(left))), len(right)), np.tile(np.arange(len(right)), min(256, len(left) - x))
                     # inside one block each pair comes twice
-                    keep = (c[i] != c[j]) & ((block[i] != block[j]) | (ids[i] < ids[j]))
-                    i, j = i[keep], j[keep]
-                    ok, same = _passed(ids, n, bits, i, j, percent)
-                    if ok.any():
-                        yield _candidates(ids[i[ok]], ids[j[ok]], same[ok], part[i[ok]])
-
-    found = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(run), _schema(crowded))
-    return found.groupBy("a", "b").agg(F.max("near").alias("near"), F.min("part").alias("part"))
+                    ok = (c[left[i]] != c[right[j]]) & ((block[left[i]] != block[right[j]]) | (ids[left[i]] < ids[right[j]]))
+                    i, j = i[ok], j[ok]
+                    ok = _passed(ids, n, bits, left[i], right[j], percent)[0]
+                    i, j = i[ok], j[ok]
+                    if len(i):
+                        k = _shared(*own, i, j)
+                        ok = 100 * k >= percent * (n[left[i]] + n[right[j]] - k)
+                        links.append((left[i[ok]], right[j[ok]]))
+                if links:
+                    a, b = (np.concatenate(side) for side in zip(*links, strict=True))
+                    kept = _spanning(c[a], c[b])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a[kept]]), pa.array(ids[b[kept]])], ["a", "b"])
+
+    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(run), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -359,9 +404,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             pairs = pairs.unionByName(_neighbours(crowded.repartitionByRange(4 * parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id"), percent))
         pairs = scratch.save(pairs.groupBy("a", "b").agg(F.max("near").alias("near"), F.min("part").alias("part")))
 
-        def sets(of: DataFrame) -> DataFrame:
-            """The sets of the pairs' texts. Rows that repeat an id: one of them stands for it, as one does above."""
-            ids = scratch.save(of.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        def sets(ids: DataFrame) -> DataFrame:
+            """Sets by id. Rows that repeat an id: one of them stands for it, as one does above."""
             return scratch.save(sets_of(source.join(few(ids, ids.count()), "id", "left_semi"), "id", "t", size)).dropDuplicates(["id"])
 
         # first each text's closest two pairs
@@ -370,16 +414,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         best = F.max_by(pair, F.struct("near", -F.col("a"), -F.col("b")))
         low = F.max_by(pair, F.struct(F.col("a") * -1, "near"))
         chosen = scratch.save(ends.groupBy("end").agg(F.array(best, low).alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b", "p.part").distinct())
-        own = sets(pairs)
+        own = sets(scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         links = scratch.save(confirmed(chosen, own, percent))
         label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
         label = scratch.save(_linked(label, pairs.join(chosen, ["a", "b"], "left_anti"), own, percent, scratch))
         # pairs of crowded regions that are neither neighbours nor of a hub
-        left = _crossing(crowded, label, percent, scratch) if many else None
-        if left is not None:
-            left = scratch.save(left.join(pairs, ["a", "b"], "left_anti"))
-            if not left.isEmpty():
-                label = _linked(label, left, sets(left), percent, scratch)
+        members = _families(crowded, label, scratch) if many else None
+        if members is not None:
+            links = _crossing(members, sets(members.select("id")), percent, scratch)
+            old = label.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+            label = components(old.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), scratch)
         out = (
             sig.select("id", "n", "f1", "f2")
             .join(classes, ["n", "f1", "f2"], "left")

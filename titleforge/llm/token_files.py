@@ -198,13 +198,10 @@ def _encoded(docs: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
                 new = [i for i, g in enumerate(told) if g is None]
                 for i, g in zip(new, library.ids([raw[i] for i in new]), strict=True):
                     told[i] = _known[raw[i]] = g
-                rank = np.argsort(-np.bincount(codes, minlength=len(raw)), kind="stable")
-                place = np.empty(len(raw), np.int64)
-                place[rank] = np.arange(len(raw))
-                got = [told[i] for i in rank.tolist()]
-                sizes = np.fromiter((len(g) // 4 for g in got), np.int64, len(got))
-                ids = np.frombuffer(b"".join(got), "<u4")
-                row = {"keys": pa.array([batch.column(0)[lo:hi].to_pylist()], pa.list_(batch.column(0).type)), "n": [_numbers(np.diff(first))], "pieces": [_numbers(place[codes])], "sizes": [_numbers(sizes)], "ids": [_numbers(ids)]}
+                # pieces go by their first place, so frequent ones have small numbers, which compress
+                sizes = np.fromiter(map(len, told), np.int64, len(told)) // 4
+                ids = np.frombuffer(b"".join(told), "<u4")
+                row = {"keys": pa.array([batch.column(0)[lo:hi].to_pylist()], pa.list_(batch.column(0).type)), "n": [_numbers(np.diff(first))], "pieces": [_numbers(codes)], "sizes": [_numbers(sizes)], "ids": [_numbers(ids)]}
                 yield pa.RecordBatch.from_pydict(row)
 
     return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"keys array<{kind}>, n binary, pieces binary, sizes binary, ids binary")

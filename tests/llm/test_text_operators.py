@@ -262,6 +262,7 @@ def _without_repeats(rows):
 @pytest.mark.parametrize("block", [3000, 2 << 20])
 def test_repeats(spark, odd, empty, monkeypatch, block):
     monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
+    monkeypatch.setattr(repeats, "MOST_LETTERS", block)
     rng = random.Random(4)
     text = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
     base, rows = [text(400) for _ in range(12)], []
@@ -278,3 +279,30 @@ def test_repeats(spark, odd, empty, monkeypatch, block):
         assert repeats.remove_repeats(odd.select("doc_id", "text"), scratch).count() == len(ODD)
 
 
+
+
+def test_suffix_ranks_follow_the_letters():
+    import numpy as np
+
+    rng = random.Random(8)
+    phrases = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 240))) for _ in range(12)] + [b"a" * 300, b"a" * 250]
+    letters, ends = np.frombuffer(b"".join(phrases), np.uint8), np.cumsum([len(p) for p in phrases])
+    rank = repeats.suffix_ranks(letters, ends)
+    windows = {}
+    for p, end in zip(phrases, ends, strict=True):
+        for k in range(len(p)):
+            at = end - len(p) + k
+            assert (rank[at] >= 0) == (k + repeats.LENGTH <= len(p))
+            if rank[at] >= 0:
+                windows[int(rank[at])] = {*windows.get(int(rank[at]), ()), p[k : k + repeats.LENGTH]}
+    assert all(len(w) == 1 for w in windows.values())
+    assert [min(windows[r]) for r in sorted(windows)] == sorted({x for w in windows.values() for x in w})
+
+
+def test_triggers_of_long_texts(monkeypatch):
+    import numpy as np
+
+    gram = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    want = repeats._triggers(gram)
+    monkeypatch.setattr(repeats, "_STRETCH", 700)
+    assert (repeats._triggers(gram) == want).all()

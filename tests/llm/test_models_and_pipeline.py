@@ -1,4 +1,7 @@
+import math
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -6,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from titleforge.llm import quality_knn, toxicity_kn
+from titleforge.llm.common import Scratch
 from titleforge.llm.queries import QUERIES
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -23,7 +27,87 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    assert _accuracy(spark, "/root/testdata/sf0.1", "op7_toxicity_kneser_ney", "toxic") >= 0.92
+    """Always answering 0 is right on 0.882 of these rows; about a third of the labels 1 follow nothing in the text."""
+    folder = "/root/testdata/sf0.1"
+    got = QUERIES["op7_toxicity_kneser_ney"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
+    rows = got.where("held_out").select("score", "predicted", "toxic").collect()
+    assert all(0 <= r.score <= 1 for r in rows)
+    hits = sum(r.predicted and r.toxic for r in rows)
+    assert np.mean([r.predicted == r.toxic for r in rows]) >= 0.93
+    assert hits / sum(r.toxic for r in rows) >= 0.5 and hits / sum(r.predicted for r in rows) >= 0.85
+
+
+def _plain_kneser_ney(rows, word_from, pair_from):
+    """Each text's difference, straight from the definition."""
+    marks = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
+    split = lambda t: [w.strip(marks) or w for w in t.lower().split()]
+    one, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    for y, t in rows:
+        one[y].update(split(t))
+    both = one[0] + one[1]
+    word = lambda w: w if both[w] >= word_from else None
+    context = lambda w: w if w is not None and both[w] >= pair_from else None
+    for y, t in rows:
+        ws = split(t)
+        pairs[y].update((context(u), word(w)) for u, w in zip([None, *ws], ws))
+    every = pairs[0] + pairs[1]
+    single = [Counter(), Counter()]
+    for y in (0, 1):
+        for (_, w), n in pairs[y].items():
+            single[y][w] += n
+    ahead = Counter(w for _, w in every)
+
+    def discount(c):
+        a, b = (sum(x == k for x in c.values()) for k in (1, 2))
+        return a / (a + 2 * b) if a else 0.5
+
+    def unigram(y, w):
+        d = discount(single[y])
+        spare = sum(min(d, single[y][x]) for x in ahead)
+        return (max(single[y][w] - d, 0) + spare * ahead[w] / len(every)) / sum(single[y].values())
+
+    d2, ds = [discount(p) for p in pairs], discount(every)
+
+    def bigram(y, u, w):
+        kept = [p for p in every if p[0] == u and every[p] >= pair_from and None not in p]
+        totals = [sum(max(pairs[k][p] - d2[k], 0) for p in kept) for k in (0, 1)]
+        if u is None or (u, w) not in kept or min(totals) <= 0:
+            return unigram(y, w)
+        g = 1 - sum(every[p] - ds for p in kept) / sum(n for p, n in every.items() if p[0] == u)
+        return (1 - g) * max(pairs[y][u, w] - d2[y], 0) / totals[y] + g * unigram(y, w)
+
+    def difference(t):
+        ws, out = split(t), 0.0
+        for u, w in zip([None, *ws], ws):
+            if word(w) is not None:
+                r = math.log(bigram(1, context(word(u)) if u else None, w) / bigram(0, context(word(u)) if u else None, w))
+                out += math.copysign(max(abs(r) - toxicity_kn.DEAD, 0), r)
+        return out / (len(ws) + toxicity_kn.SHORT)
+
+    return [difference(t) for _, t in rows]
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_kneser_ney_by_its_definition(spark, monkeypatch, most):
+    monkeypatch.setattr(toxicity_kn, "BROADCAST_TERMS", most)
+    monkeypatch.setattr(toxicity_kn, "DEAD", 0.2)
+    rng = random.Random(3)
+    plain, bad = [f"w{i}" for i in range(40)], ["bad", "awful", "vile,"]
+    rows = []
+    for i in range(90):
+        ws = [rng.choice(plain[: rng.choice((4, 40))]) for _ in range(rng.randrange(1, 60))]
+        for _ in range(rng.randrange(1, 6) if i % 3 == 0 else rng.random() < 0.1):
+            ws[rng.randrange(len(ws))] = rng.choice(bad)
+        rows.append((int(i % 3 == 0), " ".join(ws)))
+    labelled = spark.createDataFrame(rows, "y int, t string").repartition(5)
+    with Scratch(spark) as scratch:
+        model = toxicity_kn.Model(toxicity_kn.terms(labelled, scratch, 6, 20))
+        assert (model.few is None) == (most == 0) and model.terms.where("u <> 0").count() > 0
+        got = {r.t: r.x for r in toxicity_kn._differences(labelled, model, "t", "x", scratch).collect()}
+    want = _plain_kneser_ney(rows, 6, 20)
+    assert any(x > 0.01 for x in want)
+    for (_, t), x in zip(rows, want, strict=True):
+        assert got[t] == pytest.approx(x, abs=1e-9)
 
 
 def test_held_out_is_the_crc(spark):
@@ -35,13 +119,19 @@ def test_held_out_is_the_crc(spark):
 def test_odd_rows_and_no_labels(spark, model):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "a b", "x"), (None, "word " * 5000, "x")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, y int")
-    rows = model.score(docs, model.train(docs, none, "y")).collect()
-    assert [r.score for r in rows] == [0.5] * 4
+    with Scratch(spark) as scratch:
+        more = (scratch,) if model is toxicity_kn else ()
+        rows = model.score(docs, model.train(docs, none, "y", *more), *more).collect()
+        assert [r.score for r in rows] == [0.5] * 4
+        _odd(spark, model, docs, more)
+
+
+def _odd(spark, model, docs, more):
     some = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(None, 1), (3, None)], "doc_id long, y int")
     texts = spark.createDataFrame([(i, "good words here. " * 9 if i % 2 else "BAD!! ### stuff " * 9) for i in range(20)], "doc_id long, text string")
-    trained = model.train(texts, some, "y")
-    assert all(0 <= r.score <= 1 for r in model.score(docs, trained).collect())
-    assert model.score(docs.limit(0), trained).count() == 0
+    trained = model.train(texts, some, "y", *more)
+    assert all(0 <= r.score <= 1 for r in model.score(docs, trained, *more).collect())
+    assert model.score(docs.limit(0), trained, *more).count() == 0
 
 
 def test_exact_cosines_and_ties():
@@ -51,31 +141,6 @@ def test_exact_cosines_and_ties():
     assert m.vote(rows).tolist() == [1.0, pytest.approx(1 / 3)]
 
 
-def test_partial_tables_add_up():
-    a, b, both = toxicity_kn.Counts(), toxicity_kn.Counts(), toxicity_kn.Counts()
-    rng = np.random.default_rng(1)
-    for y, c in ((0, a), (1, b)):
-        words = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
-        c.add(y, words, words * np.uint64(3), np.roll(words, 1))
-        both.add(y, words, words * np.uint64(3), np.roll(words, 1))
-    parts = {}
-    for c in (a, b):
-        for name, y, k, packed in c.parts():
-            parts.setdefault((name, y, k), []).append(packed)
-    out = toxicity_kn.Counts()
-    for (name, y, k), p in parts.items():
-        out.put(name, y, k, toxicity_kn.merged(name, iter(p)))
-    for name, _ in toxicity_kn.Counts.TABLES:
-        assert (getattr(out, name) == getattr(both, name)).all()
-
-
-def test_distinct_counts_are_close():
-    registers = np.zeros(toxicity_kn.REGISTERS, np.uint8)
-    at, rank = toxicity_kn._register(np.zeros(5000, np.int64), np.random.default_rng(2).integers(0, 1 << 63, 5000, dtype=np.uint64))
-    np.maximum.at(registers, at, rank)
-    assert 0.6 * 5000 < toxicity_kn.distinct_of(registers)[0] < 1.6 * 5000
-
-
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     out = docs

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -159,3 +160,77 @@ def test_common_shingles_by_matrices():
     rng = np.random.default_rng(0)
     left, right = ([np.unique(rng.integers(0, 9000, rng.integers(1, 6000)).astype(np.uint64)) for _ in range(n)] for n in (9, 5))
     assert near_dup._common(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+
+
+def test_keys_find_what_all_windows_hold(spark):
+    """Leaks by brute force over all stretches of all documents against those that the keys find."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    items = [[rng.choice(words) for _ in range(rng.randrange(4, 26))] for _ in range(25)]
+    texts = []
+    for _ in range(60):
+        text = [rng.choice(words) for _ in range(25)]
+        for _ in range(rng.randrange(3)):
+            leak = list(rng.choice(items))
+            for _ in range(rng.randrange(len(leak) // 4 + 1)):
+                at = rng.randrange(len(leak))
+                leak[at : at + 1] = rng.choice([[], [rng.choice(words)], [leak[at], "zz"]])
+            at = rng.randrange(len(text))
+            text[at:at] = leak
+        texts.append(text)
+    want = set()
+    for d, text in enumerate(texts):
+        number = {w: k for k, w in enumerate(words)}
+        codes = np.array([number.get(w, -1) for w in text])
+        for i, item in enumerate(items):
+            if decontaminate.best_stretch(np.array([number[w] for w in item]), codes)[0] <= len(item) // 5:
+                want.add((d, i))
+    docs = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] * 2, "doc_id long, text string")
+    got = decontaminate.find_leaks(docs, benchmark, item_key="doc_id").collect()
+    assert len(want) > 25 and {(r.doc_id, r.item_doc_id) for r in got} == want
+
+
+def test_long_items():
+    rng = random.Random(2)
+    item = [f"w{rng.randrange(4000)}" for _ in range(3000)]
+    leak = [w for w in item if rng.random() > 0.15]
+    data = " ".join(["x"] * 50 + leak + ["y"] * 50).encode()
+    found = list(decontaminate.matches(decontaminate.Items([7], [" ".join(item)], 20), np.frombuffer(data, np.uint8), np.array([0, len(data)])))
+    assert [(d, i) for d, i, *_ in found] == [(0, 0)]
+
+
+def test_one_person_has_one_surrogate(spark):
+    rows = [
+        (1, "Mrs. Anna Meyer came. Dr. Anna Meyer spoke, then Anna Meyer left; Meyer was late, and so was Ms. Meyer. Annameyer stays."),
+        (2, "Prof. Anna Meyer wrote ANNA MEYER, not anna meyer."),
+        (3, "Anna Meyer has no title here."),
+        (4, "Mr. John Doe and Mr. Jack Doe met Mr. Doe."),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.pseudonymise(docs, key=b"one").collect()}
+    first, last = re.match(r"Mrs\. (\w+) ([\w-]+) came", got[1].text).groups()
+    assert first in surrogates.GIVEN["latin", "f"]
+    assert got[1].text == f"Mrs. {first} {last} came. Dr. {first} {last} spoke, then {first} {last} left; {last} was late, and so was Ms. {last}. Annameyer stays."
+    assert got[2].text == f"Prof. {first} {last} wrote {first.upper()} {last.upper()}, not anna meyer."
+    assert got[3].text == rows[2][1] and got[1].n_entities == 5
+    # two persons of one family name: the name alone is neither of them
+    names = re.match(r"Mr\. ([\w-]+ [\w-]+) and Mr\. ([\w-]+ [\w-]+) met Mr\. ([\w-]+)\.", got[4].text).groups()
+    assert len(set(names)) == 3
+    other = {r.doc_id: r.text for r in surrogates.pseudonymise(docs, key=b"two").collect()}
+    assert other[1] != got[1].text and surrogates.session_key(spark) == surrogates.session_key(spark)
+
+
+def test_formats_that_run_out(spark):
+    """More values than the format has: all stay distinct, later ones get longer."""
+    rows = [(i, f"token={i:08d}") for i in range(30)] + [(100 + i, f"Mr. {chr(65 + i // 26)}{chr(97 + i % 26)}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = [r.text for r in surrogates.pseudonymise(docs, key=b"k").collect()]
+    assert len(set(texts)) == len(rows) and not {t for _, t in rows} & set(texts)
+    assert len(surrogates.surrogate("ssn", "123-45-6789", "123456789", surrogates.LONGER_FROM)) == 19
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "Mr. John Doe", "x", 5, "y")], "doc_id long, text string, n_entities string, _past0 int, _hash0 string")
+    row = surrogates.pseudonymise(docs, key=b"k").first()
+    assert row.n_entities == 1 and row._past0 == 5 and row._hash0 == "y" and row.entity_kinds == "name"

@@ -2,22 +2,33 @@
 
 Detected entities get keyed replacements of their own kind: names keep gender, script, case and number of
 parts, everything else keeps its format character by character. A replacement is a function of (key, kind,
-normal value, attempt), so one person or address has one surrogate in the whole corpus (coreference).
+normal value, attempt), so one person or address has one surrogate in the whole corpus (coreference), however it is
+spaced, and whatever title a person has: the gender of a name is told from all its titles in the corpus.
 Distinct entities are then compared globally: where two share a surrogate, or a surrogate is itself an entity
-of the corpus, all but the first move on to their next attempt, until none collide (distinctness).
+of the corpus, all but the first move on to their next attempt, until none collide (distinctness). Where the values
+of a format run out, later attempts are longer.
+
+A name is found after a title. Further mentions of a found name in its text are replaced too, without a title: the
+whole name, and its last word alone. A last word that ends exactly one longer name of the text means that person.
+A name that has no title anywhere in a text stays.
+
+The key comes from ``spark.titleforge.surrogates.key``; without that setting it is random and lasts for the session.
 
 Texts are not shuffled: only distinct entities are, and what a text needs beyond its own words is the list of
-entities past attempt 0, which is broadcast up to BROADCAST_ROWS rows and joined by row beyond.
+entities past attempt 0 or of unlike titles, which is broadcast up to BROADCAST_ROWS rows and joined by row beyond.
 
 Defined results: a null text stays null with 0 entities, as an empty one stays empty. Repeated rows get the same
-replacements. Of overlapping candidates the earlier wins, then the longer kind listed first. Other columns
-pass through; result columns win over input columns of their name.
+replacements. Of overlapping candidates the earlier wins, then the longer kind listed first. Very long texts are read
+whole. Other columns pass through; result columns (n_entities, entity_kinds) win over input columns of their name.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,8 +38,11 @@ from pyspark.sql import functions as F
 
 from titleforge.llm.common import Scratch, held, table, tidy
 
-BROADCAST_ROWS, MOST_ATTEMPTS = 200_000, 50
-KEY = b"surrogates-v1"
+BROADCAST_ROWS = 200_000
+#: Attempts after which names get a part of letters, and after which every surrogate gets longer.
+LETTERS_FROM, LONGER_FROM = 10, 20
+SETTING = "spark.titleforge.surrogates.key"
+_session_keys: dict[str, bytes] = {}
 
 #: Titles that show a gender, and those that don't.
 MALE = ("Mr", "Mister", "Sir", "Herr", "Monsieur", "M", "Señor", "Sr", "Don", "Signor", "господин", "г-н", "κύριος")
@@ -69,8 +83,40 @@ PATTERN = re.compile("|".join(KINDS.values()))
 SIGN = rf"[0-9@]|(?:{_TITLE})\.?[ \x{{A0}}]\p{{Lu}}|(?i:token|api.?key|secret|passw|access.?key)"
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key in SETTING, else a random one of this session."""
+    key = spark.conf.get(SETTING, None)
+    return key.encode() if key else _session_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def _mentions(text: str, out: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
+    """Names without their title where the text has them with one; one person by one value and gender."""
+    names = {n[2:] for k, _, _, n in out if k == "name"}
+    if not names:
+        return out
+    last: dict[str, list[str]] = {}
+    for name in sorted(names):
+        if " " in name:
+            last.setdefault(name.rpartition(" ")[2], []).append(name)
+    person = lambda name: last[name][0] if len(last.get(name, ())) == 1 else name
+    out = [(k, a, b, f"{n[:2]}{person(n[2:])}" if k == "name" else n) for k, a, b, n in out]
+    wanted = sorted({*names, *last}, key=lambda x: (-len(x), x))
+    again = re.compile(r"(?<![\w@.\-])(?:" + "|".join(r"[ \u00A0]".join(map(re.escape, w.split())) for w in wanted) + r")(?![\w@])", re.I)
+    starts, ends = [a for _, a, _, _ in out], [b for _, _, b, _ in out]
+    for m in again.finditer(text):
+        near = bisect.bisect_right(starts, m.start())
+        free = (near == 0 or ends[near - 1] <= m.start()) and (near == len(starts) or starts[near] >= m.end())
+        if free and all(w[0].isupper() for w in m[0].split()):
+            out.append(("name", *m.span(), f"n:{person(' '.join(m[0].split()).lower())}"))
+    genders: dict[str, str] = {}
+    for k, _, _, n in out:
+        if k == "name":
+            genders[n[2:]] = min(genders.get(n[2:], "n"), n[0])
+    return [(k, a, b, f"{genders[n[2:]]}:{n[2:]}" if k == "name" else n) for k, a, b, n in out]
+
+
 def entities(text: str) -> list[tuple[str, int, int, str]]:
-    """(kind, start, end, normal value) of a text's entities, in order."""
+    """(kind, start, end, normal value) of a text's entities, in order; a name's value opens with its gender there."""
     out = []
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
@@ -86,7 +132,7 @@ def entities(text: str) -> list[tuple[str, int, int, str]]:
             raw = raw.rstrip(".-_")
         a = m.start(kind)
         out.append((kind, a, a + len(raw), _normal(kind, raw)))
-    return out
+    return sorted(_mentions(text, out), key=lambda x: x[1:3])
 
 
 def _normal(kind: str, raw: str) -> str:
@@ -129,20 +175,33 @@ def _cased(new: str, old: str) -> str:
     return new.upper() if old.isupper() and len(old) > 1 else new.lower() if old.islower() else new
 
 
-def surrogate(kind: str, raw: str, normal: str, attempt: int, key: bytes = KEY) -> str:
-    """The replacement of one mention; mentions with one normal value differ in case and spacing only."""
-    stream = _stream(kind, normal, attempt, key)
+def surrogate(kind: str, raw: str, normal: str, attempt: int, key: bytes = b"") -> str:
+    """The replacement of one mention; mentions with one normal value differ in case and spacing only.
+
+    A name's normal value is its gender, a colon and the whole name; a mention of fewer words gets the last parts.
+    """
     if kind == "name":
-        gender, words = normal[0], raw.split()
+        gender, words = normal[0], normal[2:].split()
+        stream = _stream(kind, normal[2:], attempt, key)
         script = "cyrillic" if re.search(r"[а-яё]", normal[2:]) else "greek" if re.search(r"[α-ωά-ώ]", normal[2:]) else "latin"
         pick = lambda names: names[(next(stream) | next(stream) << 8 | next(stream) << 16) % len(names)]
         given = GIVEN[script, gender] if gender in "mf" else GIVEN[script, "m"] + GIVEN[script, "f"]
-        parts = [pick(FAMILY[script])] if len(words) == 1 else [*(pick(given) for _ in words[1:]), pick(FAMILY[script])]
-        if attempt >= 10:  # the lists are used up: a further part of letters
-            parts[-1] += "-" + _reshaped(words[-1], stream).capitalize()
+        family = pick(FAMILY[script])
+        parts = [*(pick(given) for _ in words[1:]), family]
+        if attempt >= LETTERS_FROM:  # the lists are used up: a further part of letters
+            longer = words[-1] if attempt < LONGER_FROM else (words[-1] * 8)[:8]
+            parts[-1] += "-" + _reshaped(longer, stream).capitalize()
         if script == "cyrillic" and gender == "f" and parts[-1].endswith(("в", "н")):
             parts[-1] += "а"
-        return " ".join(_cased(p, w) for p, w in zip(parts, words, strict=True))
+        old = raw.split()
+        return " ".join(_cased(p, w) for p, w in zip(parts[-len(old) :], old, strict=True))
+    stream = _stream(kind, normal, attempt, key)
+    out = _formatted(kind, raw, normal, stream, key)
+    return out if attempt < LONGER_FROM else out + _reshaped("00000000", stream)
+
+
+def _formatted(kind: str, raw: str, normal: str, stream: Iterator[int], key: bytes) -> str:
+    """A value of the format of ``raw``."""
     if kind == "email":
         local, _, domain = raw.partition("@")
         labels = domain.lower().split(".")
@@ -169,7 +228,7 @@ def _flags(column: pa.Array) -> list[bool]:
 
 
 def _found(docs: DataFrame, text: str) -> DataFrame:
-    """(kind, normal, raw) of all mentions."""
+    """(kind, normal, gender, raw) of all mentions; the gender is that of all the text's mentions, empty but for names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,60 +236,74 @@ def _found(docs: DataFrame, text: str) -> DataFrame:
             for i, flag in enumerate(_flags(column)):
                 if flag:
                     t = column[i].as_py()
-                    rows.update((k, n, t[a:b]) for k, a, b, n in entities(t))
+                    rows.update((k, *_entity(k, n), t[a:b]) for k, a, b, n in entities(t))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*sorted(rows), strict=True)], ["kind", "normal", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*sorted(rows), strict=True)], ["kind", "normal", "gender", "raw"])
+
+    return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), "kind string, normal string, gender string, raw string")
+
+
+def _entity(kind: str, normal: str) -> tuple[str, str]:
+    """What all mentions of an entity have in common, and a name's gender."""
+    return (normal[2:], normal[0]) if kind == "name" else (normal, "")
 
-    return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "kind string, normal string, raw string")
+
+def _valued(kind: str, entity: str, gender: str) -> str:
+    return f"{gender}:{entity}" if kind == "name" else entity
 
 
 def _assigned(distinct: DataFrame, key: bytes) -> DataFrame:
+    """Adds ``new``: the whole surrogate of each entity in normal form, as entities are compared."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, normals, raws, attempts = (batch.column(c).to_pylist() for c in ("kind", "normal", "raw", "attempt"))
-            # surrogates are compared in normal form, as entities are
-            out = [_normal(k, surrogate(k, r, n, a, key)).lower() for k, n, r, a in zip(kinds, normals, raws, attempts, strict=True)]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "normal", "gender", "raw", "attempt")), strict=True)
+            out = [_normal(k, surrogate(k, n if k == "name" else r, _valued(k, n, g), a, key)).lower() for k, n, g, r, a in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "new"])
 
-    return distinct.mapInArrow(run, "kind string, normal string, raw string, attempt int, new string")
+    return distinct.mapInArrow(tidy(run), distinct.select("*").schema.add("new", "string"))
 
 
-def exceptions(docs: DataFrame, text: str, scratch: Scratch, key: bytes = KEY) -> DataFrame:
-    """(kind, normal, attempt) of the entities whose first surrogate collides."""
-    bare = F.when(F.col("kind") == "name", F.substring_index("normal", ":", -1)).otherwise(F.lower("normal"))
-    now = scratch.save(_found(docs, text).groupBy("kind", "normal").agg(F.min("raw").alias("raw")).withColumn("attempt", F.lit(0)))
-    originals = scratch.save(now.select("kind", bare.alias("new")).distinct())
-    for _ in range(MOST_ATTEMPTS):
-        made = _assigned(now.select("kind", "normal", "raw", "attempt"), key)
+def exceptions(docs: DataFrame, text: str, scratch: Scratch, key: bytes) -> DataFrame:
+    """(kind, normal, gender, attempt) of entities whose first surrogate collides or whose titles are unlike."""
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    now = _found(docs, text).groupBy("kind", "normal").agg(F.min("raw").alias("raw"), F.min("gender").alias("gender"), (F.min("gender") != F.max("gender")).alias("unlike"))
+    now = scratch.save(now.withColumn("attempt", F.lit(0)))
+    originals = scratch.save(now.select("kind", F.lower("normal").alias("new")).distinct())
+    while True:
+        made = scratch.save(_assigned(now, key))
         # the first of those that share a surrogate keeps it: the least attempt, then the least value
-        keeper = made.groupBy("kind", "new").agg(F.count("*").alias("c"), F.min(F.struct("attempt", "normal")).alias("first"))
-        taken = originals.withColumn("taken", F.lit(True))
-        bumped = made.join(keeper.where("c > 1").select("kind", "new", F.col("first.normal").alias("owner")), ["kind", "new"], "left").join(taken, ["kind", "new"], "left")
-        bumped = bumped.withColumn("attempt", F.col("attempt") + ((F.col("owner").isNotNull() & (F.col("owner") != F.col("normal"))) | F.col("taken").isNotNull()).cast("int"))
-        after = scratch.save(bumped.select("kind", "normal", "raw", "attempt"))
-        before, now_sum = (df.agg(F.sum("attempt")).first()[0] for df in (now, after))
-        now = after
-        if before == now_sum:
-            return now.where("attempt > 0").select("kind", "normal", "attempt")
-    raise RuntimeError(f"surrogates still collide after {MOST_ATTEMPTS} attempts")
-
-
-def replaced(text: str, attempts: dict[tuple[str, str], int], key: bytes) -> tuple[str, list[str]]:
+        shared = made.groupBy("kind", "new").agg(F.count("*").alias("c"), F.min(F.struct("attempt", "normal"))["normal"].alias("owner"))
+        shared = scratch.save(shared.join(originals.withColumn("taken", F.lit(True)), ["kind", "new"], "left").where("c > 1 or taken").select("kind", "new", "owner", F.coalesce("taken", F.lit(False)).alias("taken")))
+        if shared.isEmpty():
+            break
+        bump = F.col("owner").isNotNull() & (F.col("taken") | (F.col("owner") != F.col("normal")))
+        bumped = made.join(few(shared), ["kind", "new"], "left").withColumn("attempt", F.col("attempt") + F.coalesce(bump.cast("int"), F.lit(0)))
+        now = scratch.save(bumped.select(*now.columns))
+    return now.where("attempt > 0 or unlike").select("kind", "normal", "gender", "attempt")
+
+
+def replaced(text: str, past: dict[tuple[str, str], tuple[str, int]], key: bytes) -> tuple[str, list[str]]:
+    """The text with surrogates, and the kinds of its mentions; ``past`` has gender and attempt of exceptions."""
     out, at, kinds = [], 0, []
     for kind, a, b, normal in entities(text):
-        out += [text[at:a], surrogate(kind, text[a:b], normal, attempts.get((kind, normal), 0), key)]
+        entity, gender = _entity(kind, normal)
+        gender, attempt = past.get((kind, entity), (gender, 0))
+        out += [text[at:a], surrogate(kind, text[a:b], _valued(kind, entity, gender), attempt, key)]
         at = b
         kinds.append(kind)
     return "".join([*out, text[at:]]), kinds
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str = "text", key: bytes | None = None) -> DataFrame:
     """The documents with surrogates in ``text``; adds n_entities and entity_kinds (one word a mention)."""
-    keep = [c for c in docs.columns if c not in ("n_entities", "entity_kinds", "_past")]
+    key = session_key(docs.sparkSession) if key is None else key
+    keep = [c for c in docs.columns if c not in ("n_entities", "entity_kinds")]
     with Scratch(docs.sparkSession) as scratch:
         past = held(exceptions(docs, text, scratch, key))
     few = past.count() <= BROADCAST_ROWS
-    shared = {(r["kind"], r["normal"]): r["attempt"] for r in past.collect()} if few else {}
+    told = lambda rows: {(r["kind"], r["normal"]): (r["gender"], r["attempt"]) for r in rows}
+    shared = told(past.collect()) if few else {}
     source = docs.select(*keep) if few else _with_past(docs.select(*keep), text, past)
     at = keep.index(text)
 
@@ -241,8 +314,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataF
             texts, n, kinds = column.to_pylist(), [0] * len(column), [""] * len(column)
             for i, flag in enumerate(_flags(column)):
                 if flag:
-                    attempts = shared if own is None else {(r["kind"], r["normal"]): r["attempt"] for r in own[i].as_py() or ()}
-                    texts[i], found = replaced(texts[i], attempts, key)
+                    texts[i], found = replaced(texts[i], shared if own is None else told(own[i].as_py() or ()), key)
                     n[i], kinds[i] = len(found), " ".join(found)
             columns = [pa.array(texts, pa.string()) if j == at else c for j, c in enumerate(batch.columns[: len(keep)])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(kinds, pa.string())], [*keep, "n_entities", "entity_kinds"])
@@ -251,22 +323,25 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataF
 
 
 def _with_past(docs: DataFrame, text: str, past: DataFrame) -> DataFrame:
-    """Adds to each row the entities of its text that are past attempt 0, by the text's hash."""
+    """Adds to each row, last, the exceptions among the entities of its text, by the text's hash."""
+    taken = set(docs.columns)
+    name = next(f"_past{i}" for i in range(len(taken) + 1) if f"_past{i}" not in taken)
+    mark = next(f"_hash{i}" for i in range(len(taken) + 1) if f"_hash{i}" not in taken)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = set()
             for i, flag in enumerate(_flags(batch.column(1))):
                 if flag:
-                    rows.update((batch.column(0)[i].as_py(), k, n) for k, _, _, n in entities(batch.column(1)[i].as_py()))
+                    rows.update((batch.column(0)[i].as_py(), k, _entity(k, n)[0]) for k, _, _, n in entities(batch.column(1)[i].as_py()))
             if rows:
                 h, k, n = zip(*sorted(rows), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(k, pa.string()), pa.array(n, pa.string())], ["_hash", "kind", "normal"])
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(k, pa.string()), pa.array(n, pa.string())], [mark, "kind", "normal"])
 
     whole = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    mentions = docs.select(whole.alias("_hash"), F.col(text).cast("string").alias("t")).mapInArrow(run, "_hash string, kind string, normal string").distinct()
-    own = mentions.join(past, ["kind", "normal"]).groupBy("_hash").agg(F.collect_list(F.struct("kind", "normal", "attempt")).alias("_past"))
-    return docs.withColumn("_hash", whole).join(own, "_hash", "left").drop("_hash")
+    mentions = docs.select(whole.alias(mark), F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), f"{mark} string, kind string, normal string").distinct()
+    own = mentions.join(past, ["kind", "normal"]).groupBy(mark).agg(F.collect_list(F.struct("kind", "normal", "gender", "attempt")).alias(name))
+    return docs.withColumn(mark, whole).join(own, mark, "left").select(*docs.columns, name)
 
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,3 +234,14 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "Mr. John Doe", "x", 5, "y")], "doc_id long, text string, n_entities string, _past0 int, _hash0 string")
     row = surrogates.pseudonymise(docs, key=b"k").first()
     assert row.n_entities == 1 and row._past0 == 5 and row._hash0 == "y" and row.entity_kinds == "name"
+
+
+def test_rows_without_id_are_judged(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    own = " ".join(f"v{i}" for i in range(60))
+    rows = [(5, text), (None, text), (None, own), (None, own), (9, None), (None, None), (7, "leak " + " ".join(f"x{i}" for i in range(30)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted((r.doc_id or 0, r.text or "") for r in near_dup.mark(docs).collect())
+    assert left == sorted([(5, text), (0, own), (9, ""), (0, ""), (7, rows[-1][1])])
+    items = spark.createDataFrame([(1, own), (2, " ".join(f"x{i}" for i in range(30)))], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontaminate.clean(docs, items).collect()) == sorted([(5, text), (0, text), (9, ""), (0, "")])

@@ -94,6 +94,19 @@ def held(df: DataFrame) -> DataFrame:
 BROADCAST_IDS = 2_000_000
 
 
+def identified(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """Documents and a column that identifies every row: ``key``, or where some rows lack it, one that numbers those.
+
+    The numbers lie above all ids, so a row without id never stands for one with it. They are held, as a second
+    reading may deal rows out otherwise. Rows of a key that isn't a whole number can't be numbered.
+    """
+    if dict(docs.dtypes)[key] not in ("bigint", "int", "smallint", "tinyint") or docs.where(F.col(key).isNull()).isEmpty():
+        return docs, key
+    top = docs.agg(F.max(key)).first()[0]
+    name = next(f"_row{i}" for i in range(len(docs.columns) + 1) if f"_row{i}" not in docs.columns)
+    return held(docs.withColumn(name, F.coalesce(F.col(key).cast("long"), F.lit(1 + max(0, top or 0)) + F.monotonically_increasing_id()))), name
+
+
 def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose id isn't among ``ids``; rows without id stay. Texts stay in place while the ids are few."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import held, mixed, steps, table, tidy, utf8, without, words
+from titleforge.llm.common import held, identified, mixed, steps, table, tidy, utf8, without, words
 
 ITEM_BLOCK = 10_000
 REPETITIONS, STRETCH, SAMPLES = 96, 16, 2
@@ -274,8 +274,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents without any leak; of rows that repeat an id all go, rows without id stay."""
-    return without(docs, held(find_leaks(docs, benchmark, key, text).select(key).distinct()), key)
+    """Documents without any leak; of rows that repeat an id all go, and rows without id are judged one by one."""
+    rows, told = identified(docs, key)
+    return without(rows, held(find_leaks(rows, benchmark, told, text).select(told).distinct()), told).select(*docs.columns)
 
 
 def op1_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

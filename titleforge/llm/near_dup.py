@@ -23,8 +23,8 @@ Orders are cut into ranges and regions into blocks, so a hot region spreads over
 wherever its pairs are made, whatever the Arrow batches.
 
 Defined results: a null, empty or wordless text has 0 shingles and stays alone; a text with fewer words than a
-shingle has all its words as its only shingle. A row without id is kept, in no component. Rows that repeat an id are
-one node. Very long texts are read whole, as blocks by themselves. Only ``key`` and ``text`` are read, so other
+shingle has all its words as its only shingle. ``near_duplicates`` puts a row without id in no component; ``mark``
+numbers such rows, so they are judged too. Rows that repeat an id are one node. Very long texts are read whole, as blocks by themselves. Only ``key`` and ``text`` are read, so other
 columns may have any name; ``mark`` passes them through. An empty table gives an empty result.
 """
 
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import BROADCAST_IDS, Scratch, hashes, held, mixed, steps, table, tidy, utf8, without, words
+from titleforge.llm.common import BROADCAST_IDS, Scratch, hashes, held, identified, mixed, steps, table, tidy, utf8, without, words
 from titleforge.llm.components import components
 
 PERMUTATIONS, TREES, DEPTH, LEAST, NEIGHBOURS, SMALL, HUBS = 128, 32, 8, 5, 2, 24, 2
@@ -434,9 +434,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay: one of each component (its smallest id), with all their columns."""
-    found = near_duplicates(docs, key, text, size, percent)
-    return without(docs, found.where(F.col(key) != F.col("component_id")).select(key).distinct(), key)
+    """The documents that stay: one of each component (its smallest id), with all their columns.
+
+    Rows without id are told by numbers above all ids, so they go where a row with id stands for them.
+    """
+    rows, told = identified(docs, key)
+    found = near_duplicates(rows, told, text, size, percent)
+    return without(rows, found.where(F.col(told) != F.col("component_id")).select(told).distinct(), told).select(*docs.columns)
 
 
 def op10_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,6 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +26,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import Scratch, binary, held, steps, table, tidy, utf8
+from titleforge.llm.common import Scratch, binary, gathered, held, lean, table, tidy, utf8
 
 BLOCK_BYTES = 5 << 20
-#: Buckets of words, at most, so that a block's words travel in few rows.
-MOST_BUCKETS = 1024
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -148,24 +144,25 @@ def _blocks(docs: DataFrame, key: str, text: str, pattern: str, buckets: int) ->
         cut, one = regex.compile(pattern), xxhash.xxh3_64_intdigest
         names, count = ["block", "bucket", "keys", "n", "payload"], 0
         types = [pa.string(), pa.int32(), None, pa.binary(), pa.binary()]
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            types[2] = pa.list_(batch.column(0).type)
-            for lo, hi in steps(offsets, BLOCK_BYTES):
-                part = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], cut)
-                block = f"{TaskContext.get().partitionId()}-{count}"
-                count += 1
-                placed = sorted((one(w) % buckets, w, i) for i, w in enumerate(part.words))
-                slot = np.empty(len(placed), np.int64)
-                slot[np.fromiter((i for *_, i in placed), np.int64, len(placed))] = np.arange(len(placed))
-                # frequent words get small numbers in the stream, so it compresses
-                by_rank = np.argsort(-np.bincount(part.stream, minlength=len(placed)), kind="stable")
-                rank = np.empty(len(placed), np.int64)
-                rank[by_rank] = np.arange(len(placed))
-                rows = [(block, -1, batch.column(0)[lo:hi].to_pylist(), _numbers(np.diff(part.first)), packed([_numbers(rank[part.stream]), _numbers(slot[by_rank])]))]
-                rows += [(block, b, None, None, packed([w for _, w, _ in some])) for b, some in groupby(placed, key=itemgetter(0))]
-                del part, placed
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        for whole in gathered(batches, BLOCK_BYTES):
+            part = Words(*utf8(whole.column(1)), cut)
+            types[2] = pa.list_(whole.column(0).type)
+            block = f"{TaskContext.get().partitionId()}-{count}"
+            count += 1
+            # words go by (bucket, word)
+            spot = np.fromiter((one(w) % buckets for w in part.words), np.int64, len(part.words))
+            order = np.array([i for *_, i in sorted(zip(spot.tolist(), part.words, range(len(spot)), strict=True))], np.int64)
+            slot = np.empty(len(order), np.int64)
+            slot[order] = np.arange(len(order))
+            # frequent words get small numbers in the stream, so it compresses
+            by_rank = np.argsort(-np.bincount(part.stream, minlength=len(order)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[by_rank] = np.arange(len(order))
+            rows = [(block, -1, whole.column(0).to_pylist(), _numbers(np.diff(part.first)), packed([_numbers(rank[part.stream]), _numbers(slot[by_rank])]))]
+            cuts = np.flatnonzero(np.append(True, spot[order][1:] != spot[order][:-1])).tolist() if len(order) else []
+            rows += [(block, int(spot[order[a]]), None, None, packed([part.words[i] for i in order[a:b].tolist()])) for a, b in zip(cuts, [*cuts[1:], len(order)][: len(cuts)], strict=True)]
+            del part, whole
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), schema)
 
@@ -202,7 +199,7 @@ def encode(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "
     ranks_path, pattern = ranks_path or default_ranks(), pattern or public_tokenizers.PATTERN
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)[key]
-    blocks = scratch.bucketed(_blocks(docs, key, text, pattern, min(2 * parts, MOST_BUCKETS)), "block", parts)
+    blocks = scratch.bucketed(_blocks(docs, key, text, pattern, 2 * parts), "block", parts)
     words = blocks.where("bucket >= 0").select("block", "bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
     back = _encoded(words, ranks_path, pattern).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "payload"))).alias("lists"))
     both = blocks.where("bucket < 0").select("block", "keys", "n", "payload").join(back.hint("shuffle_merge"), "block", "left")
@@ -264,4 +261,5 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean(spark)
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -161,6 +161,35 @@ def steps(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, i
         lo = min(hi, n)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows of (key, text) batches in tables of about ``most`` bytes of text, whatever the batches; a longer text is alone."""
+    kept: list[pa.RecordBatch] = []
+    room = most
+    for batch in batches:
+        _, offsets = utf8(batch.column(1))
+        lo, n = 0, len(batch)
+        while lo < n:
+            hi = min(int(np.searchsorted(offsets, offsets[lo] + room, "right")) - 1, n)
+            if hi > lo:
+                kept.append(batch.slice(lo, hi - lo))
+                room -= int(offsets[hi] - offsets[lo])
+            elif not kept:  # one text that is longer than a table
+                hi = lo + 1
+                kept.append(batch.slice(lo, 1))
+            if hi < n:
+                yield pa.Table.from_batches(kept).combine_chunks()
+                kept, room = [], most
+            lo = max(hi, lo)
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks()
+
+
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of texts small enough that their buffers beside the heap stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
     """A binary array over adjoining pieces of ``data``."""
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import held, identified, mixed, steps, table, tidy, utf8, without, words
+from titleforge.llm.common import held, identified, lean, mixed, steps, table, tidy, utf8, without, words
 
 ITEM_BLOCK = 10_000
 REPETITIONS, STRETCH, SAMPLES = 96, 16, 2
@@ -280,4 +280,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 def op1_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean(spark)
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import BROADCAST_IDS, Scratch, hashes, held, identified, mixed, steps, table, tidy, utf8, without, words
+from titleforge.llm.common import BROADCAST_IDS, Scratch, hashes, held, identified, lean, mixed, steps, table, tidy, utf8, without, words
 from titleforge.llm.components import components
 
 PERMUTATIONS, TREES, DEPTH, LEAST, NEIGHBOURS, SMALL, HUBS = 128, 32, 8, 5, 2, 24, 2
@@ -444,6 +444,7 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
 
 
 def op10_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean(spark)
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

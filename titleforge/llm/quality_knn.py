@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import held_out, mixed, steps, table, tidy, utf8, words
+from titleforge.llm.common import held_out, lean, mixed, steps, table, tidy, utf8, words
 
 #: Hashed dimensions: shapes, shape pairs, words, and one for words that repeat the one before.
 SHAPES, PAIRS, WORDS = 512, 1536, 2048
@@ -203,6 +203,7 @@ THRESHOLD = 0.3
 
 
 def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"), "quality")
     out = score(docs, model)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import Scratch, held, mixed, steps, table, tidy, utf8
+from titleforge.llm.common import Scratch, gathered, held, lean, mixed, table, tidy, utf8
 
 LENGTH, GRAM = 100, 32
 BLOCK_BYTES = 2 << 20
@@ -194,15 +194,14 @@ def _packed_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         from pyspark import TaskContext
 
         count = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            ids = batch.column(0).cast(pa.int64())
+        for whole in gathered(batches, BLOCK_BYTES):
+            data, offsets = utf8(whole.column(1))
+            ids = whole.column(0).combine_chunks().cast(pa.int64())
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            for lo, hi in steps(offsets, BLOCK_BYTES):
-                head = struct.pack("<I", hi - lo) + ids[lo:hi].astype("<i8").tobytes() + known[lo:hi].astype(np.uint8).tobytes() + np.diff(offsets[lo : hi + 1]).astype("<i8").tobytes()
-                yield _rows([(count, -1, TEXT, zstandard.ZstdCompressor(level=6).compress(head + data[offsets[lo] : offsets[hi]].tobytes()))])
-                count += 1
+            head = struct.pack("<I", len(whole)) + ids.astype("<i8").tobytes() + known.astype(np.uint8).tobytes() + np.diff(offsets).astype("<i8").tobytes()
+            yield _rows([(count, -1, TEXT, zstandard.ZstdCompressor(level=6).compress(head + data.tobytes()))])
+            count += 1
 
     return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(run, _forget), _MESSAGE)
 
@@ -469,6 +468,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
 
 
 def op8_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean(spark)
     with Scratch(spark) as scratch:
         out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch)
         return held(out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))

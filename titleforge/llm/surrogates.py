@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import Scratch, held, table, tidy
+from titleforge.llm.common import Scratch, held, lean, table, tidy
 
 BROADCAST_ROWS = 200_000
 #: Attempts after which names get a part of letters, and after which every surrogate gets longer.
@@ -345,4 +345,5 @@ def _with_past(docs: DataFrame, text: str, past: DataFrame) -> DataFrame:
 
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean(spark)
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titleforge.llm.byte_bpe import _numbers, _numbers_back, units
-from titleforge.llm.common import Scratch, held, steps, table, utf8
+from titleforge.llm.common import Scratch, gathered, held, lean, table, tidy, utf8
 
 #: Longest code; ids between marks; ids of a block, about.
 LIMIT, STRIDE, BLOCK_IDS = 16, 256, 1 << 19
@@ -187,24 +187,23 @@ def _encoded(docs: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         library = Pieces(tokenizer)
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for lo, hi in steps(offsets, BLOCK_BYTES):
-                distinct, codes, first = units(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                raw = distinct.to_pylist()
-                if len(_known) > _MOST_KNOWN:
-                    _known.clear()
-                told = list(map(_known.get, raw))
-                new = [i for i, g in enumerate(told) if g is None]
-                for i, g in zip(new, library.ids([raw[i] for i in new]), strict=True):
-                    told[i] = _known[raw[i]] = g
-                # pieces go by their first place, so frequent ones have small numbers, which compress
-                sizes = np.fromiter(map(len, told), np.int64, len(told)) // 4
-                ids = np.frombuffer(b"".join(told), "<u4")
-                row = {"keys": pa.array([batch.column(0)[lo:hi].to_pylist()], pa.list_(batch.column(0).type)), "n": [_numbers(np.diff(first))], "pieces": [_numbers(codes)], "sizes": [_numbers(sizes)], "ids": [_numbers(ids)]}
-                yield pa.RecordBatch.from_pydict(row)
-
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"keys array<{kind}>, n binary, pieces binary, sizes binary, ids binary")
+        for whole in gathered(batches, BLOCK_BYTES):
+            distinct, codes, first = units(*utf8(whole.column(1)))
+            raw = distinct.to_pylist()
+            if len(_known) > _MOST_KNOWN:
+                _known.clear()
+            told = list(map(_known.get, raw))
+            new = [i for i, g in enumerate(told) if g is None]
+            for i, g in zip(new, library.ids([raw[i] for i in new]), strict=True):
+                told[i] = _known[raw[i]] = g
+            # pieces go by their first place, so frequent ones have small numbers, which compress
+            sizes = np.fromiter(map(len, told), np.int64, len(told)) // 4
+            ids = np.frombuffer(b"".join(told), "<u4")
+            del raw, told, new
+            row = {"keys": pa.array([whole.column(0).to_pylist()], pa.list_(whole.column(0).type)), "n": [_numbers(np.diff(first))], "pieces": [_numbers(codes)], "sizes": [_numbers(sizes)], "ids": [_numbers(ids)]}
+            yield pa.RecordBatch.from_pydict(row)
+
+    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), f"keys array<{kind}>, n binary, pieces binary, sizes binary, ids binary")
 
 
 def _id_counts(blocks: DataFrame) -> np.ndarray:
@@ -222,7 +221,7 @@ def _id_counts(blocks: DataFrame) -> np.ndarray:
         if len(some):
             yield pa.RecordBatch.from_pydict({"id": some, "count": total[some]})
 
-    rows = blocks.select("n", "pieces", "sizes", "ids").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).toPandas()
+    rows = blocks.select("n", "pieces", "sizes", "ids").mapInArrow(tidy(run), "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).toPandas()
     counts = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 1, np.int64)
     counts[rows["id"].to_numpy(np.int64)] = rows["count"].to_numpy(np.int64)
     return counts
@@ -264,7 +263,7 @@ def _documents(blocks: DataFrame, kind: str, lengths: np.ndarray, bounds: list)
                     yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], ["file", "key", "n", "payload", "marks"])
                     lo = hi
 
-    return blocks.mapInArrow(run, f"file int, key {kind}, n long, payload binary, marks binary")
+    return blocks.mapInArrow(tidy(run), f"file int, key {kind}, n long, payload binary, marks binary")
 
 
 def _blocks(ordered: DataFrame, kind: str) -> DataFrame:
@@ -296,7 +295,7 @@ def _blocks(ordered: DataFrame, kind: str) -> DataFrame:
         if kept:
             yield flush()
 
-    return ordered.mapInArrow(run, f"file int, block long, start long, keys array<{kind}>, n binary, payload binary, marks binary")
+    return ordered.mapInArrow(tidy(run), f"file int, block long, start long, keys array<{kind}>, n binary, payload binary, marks binary")
 
 
 def write_files(docs: DataFrame, path: str, scratch: Scratch, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> None:
@@ -338,7 +337,7 @@ def read_files(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame
                     b = min(a + 64, len(n))
                     yield pa.RecordBatch.from_arrays([pa.array([file] * (b - a), pa.int32()), pa.array(keys[a:b], batch.schema.field("keys").type.value_type), pa.array(start + ends[a:b]), pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.array(ids[ends[a] : ends[b]]))], ["file", key, "start_in_file", "ids"])
 
-    return blocks.select("file", "start", "keys", "n", "payload", "marks").mapInArrow(run, f"file int, {key} {kind}, start_in_file long, ids array<int>")
+    return blocks.select("file", "start", "keys", "n", "payload", "marks").mapInArrow(tidy(run), f"file int, {key} {kind}, start_in_file long, ids array<int>")
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
@@ -349,12 +348,13 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(_numbers_back(n).sum()) for n in batch.column(1).to_pylist()], pa.int64())], ["file", "n"])
 
-    rows = sorted((r["file"], r["n"]) for r in blocks.select("file", "n").mapInArrow(run, "file int, n long").groupBy("file").agg(F.sum("n").alias("n")).collect())
+    rows = sorted((r["file"], r["n"]) for r in blocks.select("file", "n").mapInArrow(tidy(run), "file int, n long").groupBy("file").agg(F.sum("n").alias("n")).collect())
     before = np.concatenate(([0], np.cumsum([n for _, n in rows]))).tolist()
     return spark.createDataFrame([(f, int(b)) for (f, _), b in zip(rows, before, strict=False)], "file int, before long")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titleforge.llm import byte_bpe, decontaminate, near_dup, quality_knn, surrogates
-from titleforge.llm.common import Scratch, held, table
+from titleforge.llm.common import Scratch, held, lean, table
 
 #: Words of a shingle in the near_duplicates stage; op10's sets of two words are its own contract.
 SHINGLE = 5
@@ -19,22 +19,26 @@ SHINGLE = 5
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose nearest labelled neighbours vote for them; a classifier without labels keeps all."""
+    lean(spark)
     model = quality_knn.train(docs, table(spark, sf_dir, "labels"), "quality")
     return quality_knn.score(docs, model, into="_score").where(F.col("_score") >= quality_knn.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, by sets of SHINGLE words: that of the smallest id."""
+    lean(spark)
     return near_dup.mark(docs, size=SHINGLE).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    lean(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates; their lengths are counted anew."""
+    lean(spark)
     out = surrogates.pseudonymise(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -43,6 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    lean(spark)
     return byte_bpe.digests(docs)
 
 

@@ -11,7 +11,8 @@ A word is shipped once for each block, however often the block has it, so a word
 corpus is no heavier than any other. A block holds whole documents, about BLOCK_BYTES of text.
 
 Defined results: null and empty texts have no ids and decode to no bytes. Repeated rows are encoded one by one,
-rows without key too. An empty table gives an empty result.
+rows without key too, and very long texts as blocks by themselves. ``decode`` adds one column, which wins over an input
+column of its name; other columns of the documents are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def _numbers_back(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view("<u4").reshape(-1).astype(np.int64)
 
 
-def _blocks(docs: DataFrame, key: str, text: str, pattern: str, buckets: int) -> DataFrame:
+def _blocks(docs: DataFrame, key: str, text: str, pattern: str, buckets: int, size: int) -> DataFrame:
     """Rows (block, bucket, keys, n, payload): bucket -1 has the documents' numbers, others packed words.
 
     A block's words are numbered by (bucket, word), so the buckets' lists in order need no numbers with them.
@@ -144,7 +145,7 @@ def _blocks(docs: DataFrame, key: str, text: str, pattern: str, buckets: int) ->
         cut, one = regex.compile(pattern), xxhash.xxh3_64_intdigest
         names, count = ["block", "bucket", "keys", "n", "payload"], 0
         types = [pa.string(), pa.int32(), None, pa.binary(), pa.binary()]
-        for whole in gathered(batches, BLOCK_BYTES):
+        for whole in gathered(batches, size):
             part = Words(*utf8(whole.column(1)), cut)
             types[2] = pa.list_(whole.column(0).type)
             block = f"{TaskContext.get().partitionId()}-{count}"
@@ -192,14 +193,14 @@ def _encoded(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return words.mapInArrow(tidy(run), words.schema)
 
 
-def encode(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", ranks_path: str | None = None, pattern: str | None = None, block: int = BLOCK_BYTES) -> DataFrame:
     """(key, ids array<int>) of each row. The result reads tables of ``scratch``."""
     import public_tokenizers
 
     ranks_path, pattern = ranks_path or default_ranks(), pattern or public_tokenizers.PATTERN
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)[key]
-    blocks = scratch.bucketed(_blocks(docs, key, text, pattern, 2 * parts), "block", parts)
+    blocks = scratch.bucketed(_blocks(docs, key, text, pattern, 2 * parts, block), "block", parts)
     words = blocks.where("bucket >= 0").select("block", "bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
     back = _encoded(words, ranks_path, pattern).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "payload"))).alias("lists"))
     both = blocks.where("bucket < 0").select("block", "keys", "n", "payload").join(back.hint("shuffle_merge"), "block", "left")
@@ -252,10 +253,10 @@ def decode(encoded: DataFrame, ids: str = "ids", into: str = "decoded", ranks_pa
     return encoded.select(*keep).mapInArrow(tidy(run), encoded.select(*keep).schema.add(into, "binary"))
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), held in the checkpoint folder."""
     with Scratch(docs.sparkSession) as scratch:
-        both = decode(encode(docs, scratch))
+        both = decode(encode(docs, scratch, block=block))
         text = F.concat_ws(" ", F.col("ids").cast("array<string>"))
         return held(both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
 

@@ -55,7 +55,7 @@ def _forget() -> None:
     _known.clear()
 
 
-def features(data: np.ndarray, offsets: np.ndarray, chunk: int = 512) -> Iterator[tuple[int, int, np.ndarray]]:
+def features(data: np.ndarray, offsets: np.ndarray, chunk: int = 192) -> Iterator[tuple[int, int, np.ndarray]]:
     """Ranges of adjoining documents and their dense counts (documents x DIMS)."""
     distinct, codes, first = words(data, offsets, lower=False)
     n = len(offsets) - 1

@@ -445,11 +445,11 @@ def capped_sources(spark, sf):
     return landing.capped(pages(spark, sf).select("page_id", "domain"), "domain", "page_id", 3)
 
 
-@query("""with b as (select item_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:5] as ws from benchmark)
+@query("""with b as (select item_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') as ws from benchmark)
 select item_id, (i - 1)::int as position, ws[i] as keyword from (select item_id, ws, unnest(range(1, len(ws) + 1)) as i from b)""")
 def suggestion_lists(spark, sf):
     b = table(spark, sf, "benchmark")
-    words = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 5)
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     response = F.concat(F.lit('["q",'), F.to_json(words), F.lit("]"))
     return landing.suggestions(b.select("item_id", response.alias("response"))).select("item_id", "position", "keyword")
 
@@ -460,7 +460,7 @@ def enriched_keywords(spark, sf):
     s = state(spark, sf)
     asked = enrich.queries_of(enrich.pending(s["canonical"]), RULES, compose=False)
     first = F.split(F.lower("raw_title"), " ")[0]
-    answers = s["raw"].groupBy(first.alias("w")).agg(F.slice(F.array_sort(F.collect_set("raw_title")), 1, 10).alias("l"))
+    answers = s["raw"].groupBy(first.alias("w")).agg(F.array_sort(F.collect_set("raw_title")).alias("l"))
     responses = asked.select("query").distinct().withColumn("w", F.split(F.lower("query"), " ")[0]).join(answers, "w").select("query", F.concat(F.lit('["q",'), F.to_json("l"), F.lit("]")).alias("response"))
     return enrich.keywords(asked, responses, RULES, 0.5, compose=False)
 

@@ -1,3 +1,7 @@
+import xml.etree.ElementTree as ET
+import zipfile
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,8 +117,45 @@ def test_sheets(spark, tables):
     r = s["ready"].first()
     assert (r.lsi_keywords, r.category, r.source_domains, r.suggest_1, r.suggest_2) == ("k1", "x", "a.ir", "k1", "")
     assert list(reports.sheets(*(tables[n] for n in ("canonical_products", "product_mapping", "raw_products", "lsi_keywords")), "nothing")) == ["ready", "archive", "all", "review"]
-    csv = reports.to_csv(s["review"])
-    assert csv.startswith(b"\xef\xbb\xbf") and len(csv.decode("utf-8-sig").splitlines()) == 3
+
+
+def test_files(spark, tables, tmp_path):
+    s = reports.sheets(tables["canonical_products"], tables["product_mapping"], tables["raw_products"], tables["lsi_keywords"], "review,ready", 2)
+    ready, review = (Path(p) for p in reports.csv_bundle(s, str(tmp_path), "run"))
+    assert review.name == "run__review.csv" and review.read_bytes().startswith(b"\xef\xbb\xbf")
+    assert len(review.read_text("utf-8-sig").splitlines()) == 3 and len(ready.read_text("utf-8-sig").splitlines()) == 2
+    assert {r.sheet: r.n for r in reports.sheet_counts(s).collect()} == {"ready": 1, "review": 2}
+    raw = schemas.reconciled(tables["raw_products"], "raw_products")
+    lines = Path(reports.borderline_csv(raw, str(tmp_path / "review"), "r")).read_text("utf-8-sig").splitlines()
+    assert lines[0] == "id,topic_score,raw_title,normalized_title,source_url" and len(lines) == 1 + reports.borderline(raw).count()
+    assert reports.borderline_csv(raw.limit(0), str(tmp_path / "none"), "r") is None
+
+
+def workbook(path):
+    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    with zipfile.ZipFile(path) as z:
+        names = [e.get("name") for e in ET.fromstring(z.read("xl/workbook.xml")).iterfind(".//m:sheet", ns)]
+        tabs = [ET.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")) for i in range(1, len(names) + 1)]
+    return names, tabs, [[["".join(c.itertext()) for c in r] for r in t.iterfind(".//m:row", ns)] for t in tabs]
+
+
+def test_workbook(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a<b & \"c\"\x01", 1, 0.5, ["x", "y"]), (None, None, float("nan"), None), (" رمان ", 2, 1.0, [])], "t string, n long, s double, l array<string>").coalesce(1)
+    names, tabs, got = workbook(reports.to_xlsx({"a/b": rows, "A b": rows.limit(0), "x" * 40: rows}, str(tmp_path / "a.xlsx")))
+    assert names == ["a b", "A b 2", "x" * 31]
+    assert got[0] == [["t", "n", "s", "l"], ["a<b & \"c\"", "1", "0.5", "x | y"], ["", "", "NaN", ""], [" رمان ", "2", "1.0", ""]] and got[1] == got[0][:1]
+    assert [e.get("rightToLeft") for e in tabs[0].iter() if e.tag.endswith("sheetView")] == ["1"] and any(e.get("state") == "frozen" for e in tabs[0].iter())
+    monkeypatch.setattr(reports, "TAB_ROWS", 3)
+    names, _, got = workbook(reports.to_xlsx({"s": rows}, str(tmp_path / "b.xlsx")))
+    assert names == ["s", "s 2"] and [len(g) for g in got] == [3, 2]
+
+
+def test_plan_and_keywords(spark):
+    runs = schemas.reconciled(spark.createDataFrame([("r", "old"), ("s", "old")], "run_id string, target_topic string"), "runs")
+    got = {r.run_id: r for r in st.set_run_plan(runs, "r", categories=["roman"], sites=[], options={"max_products_per_site": 5, "js": True}).collect()}
+    assert (got["r"].categories, got["r"].sites, got["r"].target_topic, got["r"].options.max_products_per_site, got["s"].sites) == (["roman"], [], "old", 5, None)
+    words = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "canonical_id long, keyword string")
+    assert st.delete_keyword(words, 1, "a").collect() == [(1, "b"), (2, "a")]
 
 
 def test_snapshots_and_schemas(spark, tables, tmp_path):

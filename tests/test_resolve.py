@@ -140,3 +140,28 @@ def test_blocks_are_bounded(spark):
     f = spark.createDataFrame([(i, ["x", f"w{i // 2}"]) for i in range(10)], "idx long, tokens array<string>")
     assert {(r.a, r.b) for r in resolve.candidate_pairs(f, top=1).collect()} == {(2 * i, 2 * i + 1) for i in range(5)}
     assert resolve.candidate_pairs(f.select("idx", F.array(F.lit("x")).alias("tokens")), most=5).count() == 0
+
+
+def given_out(rows):
+    used, out = set(), {}
+    for root, title, tokens in sorted(rows):
+        words = " ".join(sorted(set(tokens)))
+        n = 2
+        if title in used and words and f"{title} {words}" not in used:
+            title = f"{title} {words}"
+        elif title in used:
+            while f"{title} #{n}" in used:
+                n += 1
+            title = f"{title} #{n}"
+        used.add(title)
+        out[root] = title
+    return out
+
+
+def test_unique_titles(spark):
+    pick = random.Random(3)
+    plain = ["a", "a x", "a #2", "a #3", "a #2 #2", "b"]
+    for size in (1, 12, 120):
+        rows = [(i, pick.choice(plain), pick.choice([["x"], ["y", "x"], [], ["#2"]])) for i in pick.sample(range(1000), size)]
+        got = resolve.unique_titles(spark.createDataFrame(rows, "root long, title string, tokens array<string>"))
+        assert got.columns == ["root", "title", "tokens"] and {r.root: r.title for r in got.collect()} == given_out(rows)

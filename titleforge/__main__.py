@@ -21,8 +21,10 @@ def main(argv: list[str] | None = None) -> int:
     start.add_argument("--categories", default="")
     start.add_argument("--topic", default="")
     start.add_argument("--all-pages", action="store_true", help="don't ask for product signals")
-    for name in ("status", "export"):
-        commands.add_parser(name).add_argument("out")
+    commands.add_parser("status", help="show the run's counts").add_argument("out")
+    export = commands.add_parser("export", help="write the sheets as a workbook, and what is to be reviewed")
+    export.add_argument("out")
+    export.add_argument("--csv", action="store_true", help="one CSV file a sheet instead")
     args = parser.parse_args(argv)
     if args.command == "normalize":
         from titleforge.functions.entities import Scanner
@@ -50,8 +52,13 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "status":
         print(json.dumps(reports.counters(read("raw_products"), read("canonical_products"), read("lsi_keywords")).first().asDict()))
         return 0
-    for key in R.X.SHEETS:
-        Path(args.out, f"{reports.slug(key)}.csv").write_bytes(reports.to_csv(read(f"sheet_{key}")))
+    # sheets are made anew: their order is not kept in the written tables
+    made = reports.sheets(*(read(n) for n in ("canonical_products", "product_mapping", "raw_products", "lsi_keywords")))
+    if args.csv:
+        reports.csv_bundle(made, args.out, "output")
+    else:
+        reports.to_xlsx(made, str(Path(args.out, "output.xlsx")))
+    reports.borderline_csv(read("raw_products"), str(Path(args.out, "review")), "output")
     return 0
 
 

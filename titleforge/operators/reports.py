@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import csv
-import io
+import os
+import re
+import zipfile
+from functools import reduce
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from titleforge.functions import fixed as X
 
+# The limits of a workbook's tabs and the names its format asks for.
+TAB_NAME, TAB_ROWS = 31, 1_048_576
+_XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_MIME = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+_SHEET_HEAD = f'{_XML}<worksheet xmlns="{_MAIN}"><sheetViews><sheetView rightToLeft="1" workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews><sheetData>'
+_UNPRINTABLE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+
 
 def category_of(mapping: DataFrame, raw: DataFrame) -> DataFrame:
     """(id, category): the most frequent non-empty category of members; of equal ones the least."""
@@ -133,14 +147,93 @@ def cells(df: DataFrame) -> DataFrame:
     return df.select(*(one(n, k).alias(n) for n, k in df.dtypes))
 
 
-def to_csv(df: DataFrame) -> bytes:
-    """A sheet as CSV with a byte order mark; rows stream through the driver, as a download must."""
-    out = io.StringIO()
-    writer = csv.writer(out)
-    writer.writerow(df.columns)
-    for row in cells(df).toLocalIterator():
-        writer.writerow(row)
-    return out.getvalue().encode("utf-8-sig")
+def to_csv(df: DataFrame, path: str) -> str:
+    """Writes a sheet as CSV with a byte order mark; rows stream through the driver, as a download must."""
+    with open(path, "w", encoding="utf-8-sig", newline="") as out:
+        writer = csv.writer(out)
+        writer.writerow(df.columns)
+        writer.writerows(cells(df).toLocalIterator())
+    return path
+
+
+def csv_bundle(named: dict[str, DataFrame], folder: str, stem: str) -> list[str]:
+    """One file a sheet, named by the stem and the sheet."""
+    return [to_csv(df, os.path.join(folder, f"{stem}__{slug(name)}.csv")) for name, df in named.items()]
+
+
+def borderline_csv(raw: DataFrame, folder: str, run_id: str) -> str | None:
+    """Rows between the thresholds for manual review, the best first; None where there are none."""
+    rows = borderline_sheet(raw)
+    if rows.isEmpty():
+        return None
+    os.makedirs(folder, exist_ok=True)
+    return to_csv(rows, os.path.join(folder, f"{run_id}_borderline.csv"))
+
+
+def borderline_sheet(raw: DataFrame) -> DataFrame:
+    score = F.round(F.coalesce("topic_score", F.lit(0.0)), 4).alias("topic_score")
+    return borderline(raw).orderBy(F.col("topic_score").desc()).select("id", score, "raw_title", "normalized_title", "source_url")
+
+
+def to_xlsx(named: dict[str, DataFrame], path: str) -> str:
+    """Writes a workbook, one right-to-left tab a sheet with a frozen header; rows stream through the driver.
+
+    Numbers stay numbers and all else is text. Rows beyond what a tab can hold go on in a further one.
+    """
+    taken: list[str] = []
+
+    def tab(name: str) -> str:
+        base = re.sub(r"[\[\]:*?/\\]", " ", name)[:TAB_NAME] or "sheet"
+        title, n = base, 2
+        while title.lower() in (t.lower() for t in taken):
+            title, n = f"{base[: TAB_NAME - len(str(n)) - 1]} {n}", n + 1
+        taken.append(title)
+        return title
+
+    def cell(value: str, number: bool) -> str:
+        if number and value not in ("", "NaN", "Infinity", "-Infinity"):
+            return f"<c><v>{value}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_UNPRINTABLE.sub("", value))}</t></is></c>'
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, df in named.items():
+            numbers = [k in ("int", "bigint", "double", "float", "smallint", "tinyint") for _, k in df.dtypes]
+            rows, done, more = cells(df).toLocalIterator(), False, None
+            while not done:
+                tab(name)
+                with book.open(f"xl/worksheets/sheet{len(taken)}.xml", "w", force_zip64=True) as out:
+                    out.write(_SHEET_HEAD.encode())
+                    out.write(f"<row>{''.join(cell(c, False) for c in df.columns)}</row>".encode())
+                    for n in range(TAB_ROWS - 1):
+                        row = more or next(rows, None)
+                        more = None
+                        if row is None:
+                            break
+                        out.write(f"<row>{''.join(map(cell, row, numbers))}</row>".encode())
+                    more = next(rows, None)
+                    done = more is None
+                    out.write(b"</sheetData></worksheet>")
+        ids = range(1, len(taken) + 1)
+        types = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{_MIME}.worksheet+xml"/>' for i in ids)
+        book.writestr("[Content_Types].xml", f'{_XML}<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{_MIME}.sheet.main+xml"/>{types}</Types>')
+        book.writestr("_rels/.rels", f'{_XML}<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r0" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'{_XML}<Relationships xmlns="{_PACKAGE}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in ids) + "</Relationships>")
+        book.writestr("xl/workbook.xml", f'{_XML}<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets>' + "".join(f'<sheet name={quoteattr(t)} sheetId="{i}" r:id="r{i}"/>' for i, t in zip(ids, taken, strict=True)) + "</sheets></workbook>")
+    return path
+
+
+def sheet_counts(made: dict[str, DataFrame]) -> DataFrame:
+    """(sheet, n) of the sheets that were made."""
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(k).alias("sheet"), F.count("*").alias("n")) for k, df in made.items()])
+
+
+def crawl_counters(opened: DataFrame) -> DataFrame:
+    """(site, pages_fetched, failures, not_product, titles_found) of opened pages (site, ok, is_product, title)."""
+    title = F.trim(F.coalesce("title", F.lit(""))) != ""
+    return opened.groupBy("site").agg(
+        F.count("*").alias("pages_fetched"), F.count_if(~F.col("ok")).alias("failures"), F.count_if(F.col("ok") & ~F.col("is_product")).alias("not_product"),
+        F.count_if(F.col("ok") & F.col("is_product") & title).alias("titles_found"),
+    )
 
 
 def slug(name: str) -> str:

@@ -190,12 +190,25 @@ def canonical(features: DataFrame, clustered: DataFrame) -> DataFrame:
 
 
 def unique_titles(records: DataFrame) -> DataFrame:
-    """Distinct titles: the least root keeps a title, others add their words, then a number."""
-    first = F.row_number().over(Window.partitionBy("title").orderBy("root"))
-    step = records.withColumn("r", first).withColumn("plain", F.col("title"))
-    step = step.withColumn("title", F.when((F.col("r") > 1) & (F.size("tokens") > 0), F.concat_ws(" ", "title", F.array_join(F.array_sort("tokens"), " "))).otherwise(F.col("title")))
-    again = F.row_number().over(Window.partitionBy("title").orderBy(F.col("title") != F.col("plain"), "root"))
-    return step.withColumn("r", again).withColumn("title", F.when(F.col("r") > 1, F.concat(F.col("title"), F.lit(" #"), F.col("r").cast("string"))).otherwise(F.col("title"))).drop("r", "plain")
+    """Distinct titles, as if given out in the order of the roots: the title, else with its words added, else the first free number.
+
+    Each round the least root keeps a wanted title and the others ask for a later choice; a row that has others of its
+    own title before it skips as many numbers, which those will take, so rounds are few.
+    """
+    words = F.array_join(F.array_sort(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>")))), " ")
+    now = cut(records.select("root", F.col("title").alias("plain"), words.alias("words"), F.lit(0).alias("k")))
+    wanted = F.when(F.col("k") == 0, F.col("plain")).when(F.col("k") == 1, F.concat_ws(" ", "plain", "words")).otherwise(F.concat(F.col("plain"), F.lit(" #"), F.col("k").cast("string")))
+    while True:
+        asked = now.withColumn("wanted", wanted)
+        order = lambda *by: Window.partitionBy(*by).orderBy("root")
+        ranked = asked.withColumns({"r": F.row_number().over(order("wanted")), "own": F.row_number().over(order("plain", "k"))})
+        ranked = ranked.withColumn("kept", F.min(F.when(F.col("own") == 1, F.col("r") == 1)).over(Window.partitionBy("plain", "k")))
+        later = F.when(F.col("k") == 0, F.when(F.col("words") != "", 1).otherwise(2)).when(F.col("k") == 1, 2).otherwise(F.col("k") + F.col("own") - F.when(F.col("kept"), 1).otherwise(0))
+        now = cut(ranked.select("root", "plain", "words", F.when(F.col("r") == 1, F.col("k")).otherwise(later).cast("int").alias("k"), (F.col("r") > 1).alias("moved")))
+        if now.where("moved").isEmpty():
+            break
+        now = now.drop("moved")
+    return records.drop("title").join(now.select("root", wanted.alias("title")), "root").select(*records.columns)
 
 
 def resolve(raw: DataFrame, rules: Rules = Rules(), top: int = 3, most: int = 400, **limits: float) -> tuple[DataFrame, DataFrame, DataFrame]:

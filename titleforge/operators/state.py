@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HAS, NO = "has_suggest", "no_suggest"
+_POINTER = "n long, name string"
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -43,6 +46,23 @@ def set_run_status(runs: DataFrame, run_id: str, status: str, phase: int | None
     return set_columns(runs, F.col("run_id") == run_id, {"status": F.lit(status), "current_phase": None if phase is None else F.lit(phase)}, {"status", "current_phase"})
 
 
+def set_run_plan(runs: DataFrame, run_id: str, categories: list[str] | None = None, sites: list[str] | None = None, topic: str | None = None, options: dict | None = None) -> DataFrame:
+    """Sets what is given of a run's plan; None leaves a column, an empty list empties it."""
+    kinds = {f.name: f.dataType for f in runs.schema}
+    listed = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    values = {
+        "categories": None if categories is None else listed(categories),
+        "sites": None if sites is None else listed(sites),
+        "target_topic": None if topic is None else F.lit(topic),
+        "options": None if options is None else F.from_json(F.lit(json.dumps(options)), kinds["options"]),
+    }
+    return set_columns(runs, F.col("run_id") == run_id, values, set(values))
+
+
+def delete_keyword(keywords: DataFrame, canonical_id: int, keyword: str) -> DataFrame:
+    return keywords.where(~((F.col("canonical_id") == canonical_id) & (F.col("keyword") == keyword)))
+
+
 def refreshed(canonical: DataFrame, keywords: DataFrame, only: Column | None = None) -> DataFrame:
     """A known suggest status follows the number of keywords; a pending one stays null."""
     counts = keywords.groupBy(F.col("canonical_id").alias("id")).agg(F.count("*").alias("_n"))
@@ -130,14 +150,27 @@ def cached(requests: DataFrame, cache: DataFrame, now: Column, ttl_days: int | N
 
 
 def save(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> str:
-    """Writes a snapshot beside the current one, then switches a one-row pointer to it; readers see all or nothing."""
+    """Writes a snapshot beside the current one, then adds a numbered pointer to it; readers see all or nothing.
+
+    Of two writers at once both take one number, and the greater name counts for every reader.
+    """
     name = uuid.uuid4().hex
     for table, df in tables.items():
         df.write.parquet(f"{path}/snapshots/{name}/{table}")
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("append").parquet(f"{path}/current")
+    try:
+        last = _pointers(spark, path).agg(F.max("n")).first()[0] or 0
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = 0
+    spark.createDataFrame([(last + 1, name)], _POINTER).coalesce(1).write.mode("append").parquet(f"{path}/current")
     return name
 
 
+def _pointers(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_POINTER).parquet(f"{path}/current")
+
+
 def load(spark: SparkSession, path: str, tables: list[str]) -> dict[str, DataFrame]:
-    newest = spark.read.parquet(f"{path}/current").select("name", F.col("_metadata.file_modification_time").alias("t")).orderBy(F.col("t").desc()).first()["name"]
+    newest = _pointers(spark, path).agg(F.max(F.struct("n", "name"))["name"]).first()[0]
     return {t: spark.read.parquet(f"{path}/snapshots/{newest}/{t}") for t in tables}

@@ -16,7 +16,7 @@ from titleforge.functions.text import Rules
 from titleforge.operators import enrich, reports, resolve
 from titleforge.operators import state as st
 from titleforge.operators.graph import cut
-from titleforge.sources import landing, schemas
+from titleforge.sources import fetching, landing, schemas
 
 # Settings that hold where a configuration says nothing.
 DEFAULTS = {
@@ -99,23 +99,34 @@ def scored(raw: DataFrame, references: list[tuple], relevant: float = 0.65, revi
     return schemas.reconciled(out, "raw_products")
 
 
-def crawl_phase(pages: DataFrame, sites: list[landing.Site], run_id: str, options: dict, rules: Rules = Rules()) -> DataFrame:
-    """Raw products of landed pages (url, html): each site's pages by its patterns, product pages only, capped."""
-    parts = []
-    for order, site in enumerate(sites):
-        urls = pages.withColumn("pos", F.col("url"))
-        mine = landing.filter_urls(urls, site.domain, site.product_url_include, site.product_url_exclude).withColumn("site", F.lit(order)).withColumn("name", F.lit(site.site_name))
-        parts.append(mine)
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+def sites_table(spark: SparkSession, sites: list[landing.Site], cap: int = 0) -> DataFrame:
+    """(site, domain, base_url, name, include, exclude, pool): the sites of a run, in their order."""
+    either = lambda patterns: "|".join(f"(?:{p})" for p in patterns)
+    rows = [(i, s.domain, s.base_url, s.site_name, either(s.product_url_include), either(s.product_url_exclude), fetching.pool_of(s.max_pages, cap)) for i, s in enumerate(sites)]
+    return spark.createDataFrame(rows, "site int, domain string, base_url string, name string, include string, exclude string, pool int")
+
+
+def crawl_phase(pages: DataFrame, sites: list[landing.Site], run_id: str, options: dict, rules: Rules = Rules(), limit: int | None = None, setting: int | None = None) -> DataFrame:
+    """Raw products of landed pages (url, html): each site's pages by its patterns, product pages only, capped.
+
+    Landed pages have no order of their own, so theirs is that of the URLs. Sites are few and given by hand; their rows
+    are broadcast to one scan of the URLs, and pages are read again only for the candidates.
+    """
+    cap = fetching.cap_of(limit, options.get("max_products_per_site"), setting)
+    known = F.broadcast(sites_table(pages.sparkSession, sites, cap))
+    bare = F.regexp_replace("url", "#.*$", "")
+    mine = pages.select("url").join(known.select("site", "domain"), H.same_domain(bare, F.col("domain"))).select("site", F.col("url").alias("place"), "url")
+    chosen = cut(fetching.candidates(mine, known))
+    found = pages.select(F.col("url").alias("landed"), bare.alias("url"), "html").join(chosen.select("site", "url"), "url").join(known.select("site", "name"), "site")
     if options.get("require_product_signals", True):
         found = found.where(H.product_signals(F.col("html"), F.col("url"))["is_product"])
     # pages are left behind here: only their titles are kept and finished in Python
-    found = cut(found.select("site", "url", H.domain_of(F.col("url")).alias("domain"), H.title_candidate(F.col("html"), H.domain_of(F.col("url")), F.col("name")).alias("title")))
+    found = cut(found.select("site", "url", "landed", H.domain_of(F.col("url")).alias("domain"), H.title_candidate(F.col("html"), H.domain_of(F.col("url")), F.col("name")).alias("title")))
     titled = cut(found.withColumn("title", H.finished_title(F.col("title")))).where("title <> ''")
-    kept = landing.capped(titled, "site", "url", options.get("max_products_per_site", 0))
-    first = st.keep_first(kept, ["url"], "site")
+    # of pages that differ in their fragment the first counts
+    single = titled.groupBy("site", "url", "domain").agg(F.min(F.struct("landed", "title"))["title"].alias("title"))
+    kept = landing.capped(single, "site", "url", cap)
+    first = kept.groupBy("url").agg(F.min(F.struct("site", "domain", "title")).alias("f")).select("url", "f.*")
     ids = first.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy("url"))).withColumn("id", (F.col("site") * F.lit(1_000_000_000) + F.col("rank")).cast("long"))
     rows = ids.select("id", F.lit(run_id).alias("run_id"), F.col("domain").alias("source_domain"), F.col("url").alias("source_url"), F.col("title").alias("raw_title"), T.normalize(F.col("title"), rules).alias("normalized_title"))
     return cut(schemas.reconciled(rows, "raw_products"))
@@ -150,7 +161,7 @@ def run(spark: SparkSession, pages: DataFrame, sites: list[landing.Site], respon
     settings, options, run_id = config(given), clean_options(options), run_id or new_run_id()
     rules = Rules.of(settings.get("normalizer"))
     refs = topics(settings.get("run.categories"), settings.get("run.target_topic", ""), tuple(settings.get("run.topic_examples")))
-    raw = crawl_phase(pages, sites, run_id, options, rules)
+    raw = crawl_phase(pages, sites, run_id, options, rules, setting=settings.get("crawl.max_products_per_site"))
     raw = cut(scored(raw, refs, settings.get("run.relevance_threshold"), settings.get("run.review_threshold"), settings.get("run.auto_threshold")))
     canonical, mapping = resolve_phase(raw, run_id, settings, rules)
     canonical, mapping = cut(canonical), cut(mapping)

@@ -50,10 +50,10 @@ def fetch_outcomes(spark, sf):
     return _answers(table(spark, sf, "pages")).select("page_id", "status", "via", F.md5(F.col("html").cast("binary")).alias("page"), "ok")
 
 
-@query(f"""with {_FETCHED_SQL}, o as (select page_id, {DOMAIN_SQL} as site, status = 200 and trim(html) <> '' as ok, html like '%itemprop%' as is_product, case when page_id % 3 > 0 then 't' else ' ' end as title from f)
+@query(f"""with {_FETCHED_SQL}, o as (select page_id, {DOMAIN_SQL} as site, status = 200 and trim(html) <> '' as ok, page_id % 4 <> 1 as is_product, case when page_id % 3 > 0 then 't' else ' ' end as title from f)
 select site, count(*) as pages_fetched, count(*) filter (not ok) as failures, count(*) filter (ok and not is_product) as not_product, count(*) filter (ok and is_product and trim(title) <> '') as titles_found from o group by site""")
 def crawl_counters(spark, sf):
-    opened = _answers(table(spark, sf, "pages")).select(H.domain_of(F.col("url")).alias("site"), "ok", F.col("html").like("%itemprop%").alias("is_product"), F.when(F.col("page_id") % 3 > 0, "t").otherwise(" ").alias("title"))
+    opened = _answers(table(spark, sf, "pages")).select(H.domain_of(F.col("url")).alias("site"), "ok", (F.col("page_id") % 4 != 1).alias("is_product"), F.when(F.col("page_id") % 3 > 0, "t").otherwise(" ").alias("title"))
     return reports.crawl_counters(opened)
 
 

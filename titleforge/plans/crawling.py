@@ -28,9 +28,9 @@ def _rules(p: DataFrame) -> DataFrame:
 
 
 def _answers(p: DataFrame) -> DataFrame:
-    http = p.where("page_id % 13 <> 4").select("url", F.expr(_STATUS).alias("status"), F.expr(_HTTP).alias("html"))
-    browser = p.where("page_id % 2 = 0").select("url", F.expr("if(page_id % 6 = 0, 500, 200)").alias("status"), F.concat(F.lit("browser "), "html").alias("html"))
-    return fetching.fetched(p.select("page_id", "url", (F.col("page_id") % 7 == 0).alias("force")), http, _rules(p), browser)
+    http = p.where("page_id % 13 <> 4").select("page_id", F.expr(_STATUS).alias("status"), F.expr(_HTTP).alias("html"))
+    browser = p.where("page_id % 2 = 0").select("page_id", F.expr("if(page_id % 6 = 0, 500, 200)").alias("status"), F.concat(F.lit("browser "), "html").alias("html"))
+    return fetching.fetched(p.select("page_id", "url", (F.col("page_id") % 7 == 0).alias("force")), http, _rules(p), browser, key="page_id")
 
 
 @query(f"select page_id, {_MAY_SQL} as may from pages")

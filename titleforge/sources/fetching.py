@@ -72,11 +72,14 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
-def fetched(requests: DataFrame, http: DataFrame, rules: DataFrame | None = None, browser: DataFrame | None = None) -> DataFrame:
-    """(.., status, html, via, ok) of requests (url, [force]) over landed answers (url, status, html).
+def fetched(requests: DataFrame, http: DataFrame, rules: DataFrame | None = None, browser: DataFrame | None = None, key: str = "url") -> DataFrame:
+    """(.., status, html, via, ok) of requests (url, [force]) over landed answers (key, status, html).
+
+    Where one URL is asked for more than once and each request has its own answer, ``key`` names the column of both that
+    tells the requests apart; by default an answer serves every request for its URL.
 
     A disallowed URL has status 999 and no page; one that never answered has status 0. A browser's answer stands in for
-    a refused, failed or empty one, and comes first, if it is good, for a forced request. Answers hold each URL once.
+    a refused, failed or empty one, and comes first, if it is good, for a forced request. Answers hold each key once.
     """
     force = F.coalesce("force", F.lit(False)) if "force" in requests.columns else F.lit(False)
     asked = requests.withColumn("_force", force)
@@ -86,14 +89,14 @@ def fetched(requests: DataFrame, http: DataFrame, rules: DataFrame | None = None
         asked = asked.withColumn("_origin", origin_of(F.col("url"))).join(rules.select(F.col("origin").alias("_origin"), F.col("rules").alias("_rules")), "_origin", "left")
         asked = asked.withColumn("_may", permitted(F.col("url"), F.col("_rules"))).drop("_origin", "_rules")
     # a disallowed request has no answer, so it meets none
-    answer = lambda df, name: df.select(F.col("url").alias(f"_u{name}"), F.struct("status", "html").alias(name))
-    both = asked.join(answer(http, "_h"), F.col("_may") & (F.col("url") == F.col("_u_h")), "left").drop("_u_h")
+    answer = lambda df, name: df.select(F.col(key).alias(f"_u{name}"), F.struct("status", "html").alias(name))
+    both = asked.join(answer(http, "_h"), F.col("_may") & (F.col(key) == F.col("_u_h")), "left").drop("_u_h")
     status, page = F.coalesce("_h.status", F.lit(0)), F.coalesce("_h.html", F.lit(""))
     if browser is None:
         use = F.lit(False)
         both = both.withColumn("_b", F.lit(None).cast("struct<status int, html string>"))
     else:
-        both = both.join(answer(browser, "_b"), F.col("_may") & (F.col("url") == F.col("_u_b")), "left").drop("_u_b")
+        both = both.join(answer(browser, "_b"), F.col("_may") & (F.col(key) == F.col("_u_b")), "left").drop("_u_b")
         good = (F.col("_b.status") == 200) & (stripped(F.col("_b.html")) != "")
         poor = status.isin(*BROWSER_STATUSES) | ((status == 200) & (F.length(stripped(page)) < SHELL))
         use = F.col("_b").isNotNull() & (poor | (F.col("_force") & good))

@@ -60,3 +60,8 @@ def against_sql_over_pages(spark, folder, name, rows):
 def test_crawl_counters_of_a_url_on_many_pages(spark, tmp_path):
     got, want = against_sql_over_pages(spark, tmp_path, "crawl_counters", SAME)
     assert len(want) == 3 and got == want
+
+
+def test_fetch_outcomes_of_a_url_on_many_pages(spark, tmp_path):
+    got, want = against_sql_over_pages(spark, tmp_path, "fetch_outcomes", SAME + SAME[:3])
+    assert len(want) == 15 and got == want

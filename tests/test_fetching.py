@@ -53,6 +53,13 @@ def test_fetched(spark):
     assert plain[a + "no"] == 200 and plain[a + "2"] == 200 and fe.fetched(asked, answers([])).where("status <> 0").isEmpty()
 
 
+def test_fetched_has_one_row_a_request(spark):
+    asked = spark.createDataFrame([("https://a.ir/1",), ("https://a.ir/1",), ("https://a.ir/2",)], "url string")
+    answers = spark.createDataFrame([("https://a.ir/1", 404, "z" * 300), ("https://a.ir/1", 200, "x" * 300), ("https://a.ir/1", 200, "y" * 300), ("https://a.ir/2", 0, None), ("https://a.ir/2", None, None)], "url string, status int, html string")
+    got = sorted((r.url, r.status, r.html[:1]) for r in fe.fetched(asked, answers, None, answers).collect())
+    assert got == [("https://a.ir/1", 200, "y")] * 2 + [("https://a.ir/2", 0, "")]
+
+
 def walk(starts, maps, most):
     """The walk one sitemap at a time."""
     seen, queue, urls = set(), deque(starts), []

@@ -79,7 +79,8 @@ def fetched(requests: DataFrame, http: DataFrame, rules: DataFrame | None = None
     tells the requests apart; by default an answer serves every request for its URL.
 
     A disallowed URL has status 999 and no page; one that never answered has status 0. A browser's answer stands in for
-    a refused, failed or empty one, and comes first, if it is good, for a forced request. Answers hold each key once.
+    a refused, failed or empty one, and comes first, if it is good, for a forced request. Each request has one row: of several answers to a key one of status 200
+    counts before others, then the greatest.
     """
     force = F.coalesce("force", F.lit(False)) if "force" in requests.columns else F.lit(False)
     asked = requests.withColumn("_force", force)
@@ -89,7 +90,7 @@ def fetched(requests: DataFrame, http: DataFrame, rules: DataFrame | None = None
         asked = asked.withColumn("_origin", origin_of(F.col("url"))).join(rules.select(F.col("origin").alias("_origin"), F.col("rules").alias("_rules")), "_origin", "left")
         asked = asked.withColumn("_may", permitted(F.col("url"), F.col("_rules"))).drop("_origin", "_rules")
     # a disallowed request has no answer, so it meets none
-    answer = lambda df, name: df.select(F.col(key).alias(f"_u{name}"), F.struct("status", "html").alias(name))
+    answer = lambda df, name: df.groupBy(F.col(key).alias(f"_u{name}")).agg(F.max(F.struct(F.col("status").eqNullSafe(200).alias("first"), "status", "html")).alias(name))
     both = asked.join(answer(http, "_h"), F.col("_may") & (F.col(key) == F.col("_u_h")), "left").drop("_u_h")
     status, page = F.coalesce("_h.status", F.lit(0)), F.coalesce("_h.html", F.lit(""))
     if browser is None:

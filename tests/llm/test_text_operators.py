@@ -3,6 +3,8 @@ import random
 import re
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,3 +308,46 @@ def test_triggers_of_long_texts(monkeypatch):
     want = repeats._triggers(gram)
     monkeypatch.setattr(repeats, "_STRETCH", 700)
     assert (repeats._triggers(gram) == want).all()
+
+
+@pytest.mark.parametrize("most", [40, 100_000])
+def test_pieces_are_the_librarys(monkeypatch, most):
+    """Ids of whole texts, put together from pieces that were met before, spelled here or given to the library."""
+    monkeypatch.setattr(token_files, "MOST_KNOWN", most)
+    library = token_files.Pieces(token_files.default_tokenizer())
+    pick = random.Random(most)
+    stems = ["a", "don't", "Ünïon", "straße", "ĄćęŁ", "ɏȘ", "×", "÷a", "ñ", "日本", "рус", "x1", "12", "e.g.", "<|endoftext|>", "a\x00", "a\u0301", "ª", "\u00ad", "'s", "u" * 40, "é" * 16, "z" * 31]
+    ends, gaps = ["", "", ".", "!!", ",%%%", "?'", "#$&*;:", ")", "\u00a0"], [" ", " ", "\n", "\t", "  ", " \n", "\r\n", "\u00a0 ", "\n "]
+    for _ in range(12):
+        texts = ["".join(pick.choice(gaps) * pick.randint(0, 1) + pick.choice(stems) * pick.randint(1, 2) + pick.choice(ends) for _ in range(pick.randint(0, 60))) + pick.choice(["", "\n", " "]) for _ in range(20)]
+        distinct, codes, first = token_files.units(*token_files.utf8(pa.array(texts)))
+        sizes, flat = library.told(distinct)
+        pieces = np.split(flat, np.cumsum(sizes)[:-1])
+        for text, a, b in zip(texts, first[:-1], first[1:], strict=True):
+            assert [i for c in codes[a:b] for i in pieces[c].tolist()] == library.tok.encode(text, add_special_tokens=False).ids, repr(text)
+        assert library.known.count <= most
+    asked = []
+    monkeypatch.setattr(library, "ids", lambda pieces: asked.extend(pieces) or type(library).ids(library, pieces))
+    many = pa.array([f" {a}{b}{c}".encode() for a in "abcdefgh" for b in "éñßü" for c in (".", ",", "")], pa.large_binary())
+    library.told(many)
+    assert not asked  # plain pieces need no pattern
+    library.told(pa.array([b" 1234"], pa.large_binary()))
+    library.told(pa.array([b" 1234"], pa.large_binary()))
+    assert asked == [b" 1234"]
+
+
+def test_token_files_of_two_tokenizers(spark, tmp_path):
+    """A worker that has met a word under one tokenizer still asks the other for it."""
+    import tokenizers
+
+    letters = sorted(tokenizers.pre_tokenizers.ByteLevel.alphabet())
+    single = tokenizers.Tokenizer(tokenizers.models.BPE({c: i for i, c in enumerate(letters)}, []))
+    single.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False)
+    single.save(str(tmp_path / "single.json"))
+    text = "the same words again, and 12 again"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+    for name, path in (("public", token_files.default_tokenizer()), ("single", str(tmp_path / "single.json"))):
+        with Scratch(spark) as scratch:
+            token_files.write_files(docs, str(tmp_path / name), scratch, tokenizer=path)
+            [row] = token_files.read_files(spark, str(tmp_path / name)).collect()
+        assert list(row.ids) == [*tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 0]

@@ -50,7 +50,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-    lean(spark)
+    lean(spark, "4m")  # rows of its tables are whole blocks
     return byte_bpe.digests(docs, block=BLOCK)
 
 

@@ -216,6 +216,23 @@ def test_byte_bpe(spark, odd, empty):
     assert byte_bpe.digests(empty).count() == 0
 
 
+def test_digests_of_ids_and_bytes_in_one_worker(spark, odd, monkeypatch):
+    """Neither ids nor decoded bytes go through the executor's heap to a second worker."""
+    plans, keep = [], byte_bpe.held
+    monkeypatch.setattr(byte_bpe, "held", lambda df: plans.append((df.schema, df._jdf.queryExecution().executedPlan().toString())) or keep(df))
+    monkeypatch.setattr(byte_bpe, "STEP_WORDS", 50)
+    rows = byte_bpe.digests(odd, block=9000).collect()
+    with Scratch(spark) as scratch:
+        whole = byte_bpe.decode(byte_bpe.encode(odd, scratch)).collect()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = [(r.doc_id or 0, len(r.ids), sha(" ".join(map(str, r.ids)).encode()), sha(bytes(r.decoded))) for r in whole]
+    assert sorted((r[0] or 0, *r[1:]) for r in rows) == sorted(want)
+    ((schema, plan),) = plans
+    assert {f.dataType.simpleString() for f in schema} == {"bigint", "string"}
+    # one run of words to ids, one of blocks to digests
+    assert plan.count("MapInArrow") == 2
+
+
 def test_token_files(spark, odd, empty, tmp_path):
     import numpy as np
     import public_tokenizers

@@ -18,8 +18,10 @@ column of its name; other columns of the documents are not read. An empty table
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from titleforge.llm.common import Scratch, binary, gathered, held, lean, table, tidy, utf8
 
 BLOCK_BYTES = 5 << 20
+#: Words whose ids, decimal spellings and bytes are in memory at once; a longer document is a step by itself.
+STEP_WORDS = 200_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -193,41 +197,63 @@ def _encoded(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return words.mapInArrow(tidy(run), words.schema)
 
 
-def encode(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", ranks_path: str | None = None, pattern: str | None = None, block: int = BLOCK_BYTES) -> DataFrame:
-    """(key, ids array<int>) of each row. The result reads tables of ``scratch``."""
+def _joined(docs: DataFrame, scratch: Scratch, key: str, text: str, ranks_path: str | None, pattern: str | None, block: int) -> DataFrame:
+    """(keys, n, payload, lists): each block's documents as numbers, and the ids of its words. It reads tables of ``scratch``."""
     import public_tokenizers
 
     ranks_path, pattern = ranks_path or default_ranks(), pattern or public_tokenizers.PATTERN
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = dict(docs.dtypes)[key]
     blocks = scratch.bucketed(_blocks(docs, key, text, pattern, 2 * parts, block), "block", parts)
     words = blocks.where("bucket >= 0").select("block", "bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
     back = _encoded(words, ranks_path, pattern).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "payload"))).alias("lists"))
     both = blocks.where("bucket < 0").select("block", "keys", "n", "payload").join(back.hint("shuffle_merge"), "block", "left")
+    return both.select("keys", "n", "payload", "lists")
+
+
+def _ids(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """(key, ids) of the documents of joined blocks, STEP_WORDS words at a time."""
+    for whole in batches:
+        for row in range(len(whole)):
+            batch = whole.slice(row, 1)
+            keys, n, payload, lists = (batch.column(c)[0].as_py() for c in ("keys", "n", "payload", "lists"))
+            n, (stream, slot) = _numbers_back(n), map(_numbers_back, unpacked(payload))
+            pairs = [tuple(map(_numbers_back, unpacked(x["payload"]))) for x in lists or ()]
+            size = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
+            flat = np.concatenate([p[1] for p in pairs]).astype(np.int32) if pairs else np.zeros(0, np.int32)
+            del pairs, lists, payload
+            # from here on words go by their rank in the stream
+            begin, many = (np.cumsum(size) - size)[slot], size[slot]
+            ends, lo = np.concatenate(([0], np.cumsum(n))), 0
+            while lo < len(keys):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + STEP_WORDS, "right")) - 1)
+                codes = stream[ends[lo] : ends[hi]]
+                got = many[codes]
+                to = np.concatenate(([0], np.cumsum(got)))
+                ids = flat[np.repeat(begin[codes] - to[:-1], got) + np.arange(to[-1])] if len(codes) else flat[:0]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi], whole.schema.field("keys").type.value_type), pa.ListArray.from_arrays(pa.array(to[ends[lo : hi + 1] - ends[lo]].astype(np.int32)), pa.array(ids))], [key, "ids"])
+                lo = hi
+
+
+def encode(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", ranks_path: str | None = None, pattern: str | None = None, block: int = BLOCK_BYTES) -> DataFrame:
+    """(key, ids array<int>) of each row. The result reads tables of ``scratch``."""
+    both = _joined(docs, scratch, key, text, ranks_path, pattern, block)
+    return both.mapInArrow(tidy(lambda batches: _ids(batches, key)), f"{key} {dict(docs.dtypes)[key]}, ids array<int>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for row in range(len(whole)):
-                batch = whole.slice(row, 1)
-                keys, n, payload, lists = (batch.column(c)[0].as_py() for c in ("keys", "n", "payload", "lists"))
-                n, (stream, slot) = _numbers_back(n), map(_numbers_back, unpacked(payload))
-                pairs = [tuple(map(_numbers_back, unpacked(x["payload"]))) for x in lists or ()]
-                size = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
-                flat = np.concatenate([p[1] for p in pairs]).astype(np.int32) if pairs else np.zeros(0, np.int32)
-                del pairs, lists, payload
-                # from here on words go by their rank in the stream
-                begin, many = (np.cumsum(size) - size)[slot], size[slot]
-                ends, lo = np.concatenate(([0], np.cumsum(n))), 0
-                while lo < len(keys):
-                    hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + 200_000, "right")) - 1)
-                    codes = stream[ends[lo] : ends[hi]]
-                    got = many[codes]
-                    to = np.concatenate(([0], np.cumsum(got)))
-                    ids = flat[np.repeat(begin[codes] - to[:-1], got) + np.arange(to[-1])] if len(codes) else flat[:0]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi], whole.schema.field("keys").type.value_type), pa.ListArray.from_arrays(pa.array(to[ends[lo : hi + 1] - ends[lo]].astype(np.int32)), pa.array(ids))], [key, "ids"])
-                    lo = hi
-
-    return both.select("keys", "n", "payload", "lists").mapInArrow(tidy(run), f"{key} {kind}, ids array<int>")
+
+def token_bytes(ranks_path: str) -> pa.Array:
+    """The bytes of every id."""
+    ranks = read_ranks(ranks_path)
+    inverse = [b""] * (max(ranks.values()) + 1)
+    for word, i in ranks.items():
+        inverse[i] = word
+    return pa.array(inverse, pa.large_binary())
+
+
+def _spelled(column: pa.ListArray, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of each row's ids, joined: bytes, and ``n + 1`` offsets of the rows."""
+    data, ends = utf8(pieces.take(column.flatten()))
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return data, ends[np.concatenate(([0], np.cumsum(lengths)))]
 
 
 def decode(encoded: DataFrame, ids: str = "ids", into: str = "decoded", ranks_path: str | None = None) -> DataFrame:
@@ -237,28 +263,36 @@ def decode(encoded: DataFrame, ids: str = "ids", into: str = "decoded", ranks_pa
     at = keep.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(ranks_path)
-        inverse = [b""] * (max(ranks.values()) + 1)
-        for word, i in ranks.items():
-            inverse[i] = word
-        tokens = pa.array(inverse, pa.large_binary())
+        tokens = token_bytes(ranks_path)
         for batch in batches:
-            column = batch.column(at)
-            flat = tokens.take(column.flatten())
-            data, ends = utf8(flat)
-            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-            where = ends[np.concatenate(([0], np.cumsum(lengths)))]
+            data, where = _spelled(batch.column(at), tokens)
             yield pa.RecordBatch.from_arrays([*batch.columns, binary(where, data).cast(pa.binary())], [*keep, into])
 
     return encoded.select(*keep).mapInArrow(tidy(run), encoded.select(*keep).schema.add(into, "binary"))
 
 
 def digests(docs: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), held in the checkpoint folder."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), held in the checkpoint folder.
+
+    Ids and decoded bytes are those of ``encode`` and ``decode``, made and hashed in one worker STEP_WORDS words at a
+    time: neither goes back through the executor, whose heap and second worker they would fill.
+    """
+    ranks_path = default_ranks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = token_bytes(ranks_path)
+        numbers = pa.array([b"%d " % i for i in range(len(tokens))], pa.large_binary())
+        for batch in _ids(batches, "doc_id"):
+            column = batch.column(1)
+            data, at = _spelled(column, numbers)
+            ids = [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in pairwise(at.tolist())]
+            data, at = _spelled(column, tokens)
+            decoded = [hashlib.sha256(data[a:b]).hexdigest() for a, b in pairwise(at.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.list_value_length(column).cast(pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
     with Scratch(docs.sparkSession) as scratch:
-        both = decode(encode(docs, scratch, block=block))
-        text = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-        return held(both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
+        both = _joined(docs, scratch, "doc_id", "text", ranks_path, None, block)
+        return held(both.mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
